@@ -19,7 +19,7 @@ MAX_CAPACITIES = 1_000
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
     """Container number of each item (sizes at most ``capacity``); containers are numbered from 0.
 
-    Items are taken by falling size, those of groups with copies for a twentieth of the containers or more before all others, as
+    Items are taken by falling size, those of groups with copies for one in 200 of the containers or more before all others, as
     they need that many containers with space left. Open containers stand in order of their free space; each state carries a bitmap of the
     duplicate clusters in it (a cluster number below 0 conflicts with nothing) and one of the sources. The search begins at the
     smallest free space that holds the item and goes on to its successors until it finds one whose clusters don't conflict: the
@@ -27,7 +27,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     the same free space and bitmaps are one state, so that copies of a text don't walk over each other's containers one by one.
     """
     copies = Counter(c for c in clusters if c >= 0)
-    often = max(1, sum(sizes) // (capacity * 20))
+    often = max(2, sum(sizes) // (capacity * 200))
     order = sorted(range(len(sizes)), key=lambda i: (copies[clusters[i]] <= often, -sizes[i], clusters[i], sources[i], i))
     states: list[tuple[int, int, int]] = []  # (free, cluster bits, source bits), sorted
     held: dict[tuple[int, int, int], list[int]] = {}
