@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, mixing, packing, tokens
+from . import cutoff, mixing, names, packing, tokens
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def _mentions(spark, d):
+    acc, no = _read(spark, d, "accusations"), F.lit(False)
+    one = _read(spark, d, "speakers").select("country", F.col("name_cleaned").alias("name"), no.alias("is_party"))
+    two = acc.select("country", F.explode(F.array(F.struct(F.col("speaker").alias("name"), no.alias("is_party")), F.struct(F.col("target_text").alias("name"), (F.col("target_type") == "political_party").alias("is_party")))).alias("x")).select("country", "x.*")
+    return one.unionByName(two)
+
+
+def p1_found(spark, d):
+    return names.variant_pairs(names.resolve(_mentions(spark, d)))
+
+
+def p1_entities(spark, d):
+    return names.resolve(_mentions(spark, d))
+
+
 def p4_found(spark, d):
     acc = _read(spark, d, "accusations").select("id", "source_dataset", "lie_score")
     return cutoff.keep(acc, cutoff.cutoffs(acc, _read(spark, d, "cutoff_targets"))).select("id")
@@ -47,7 +62,7 @@ def p7_shares(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p4_found, p4_cutoffs, p6_packing, p6_report, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p4_found, p4_cutoffs, p6_packing, p6_report, p7_mix, p7_shares)}
 
 
 _SCORED = """scored AS (SELECT a.id, a.source_dataset, a.lie_score, t.keep_pct,
