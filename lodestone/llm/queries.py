@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, mixing, names, packing, tokens
+from . import cutoff, encoding, mixing, names, packing, tokens
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -61,8 +61,16 @@ def p7_shares(spark, d):
     return mixing.mix(_sized(spark, d).select("doc_id", "source", "n_tokens"), _read(spark, d, "mix_targets"))[1]
 
 
+def p8_found(spark, d):
+    return encoding.restore(_read(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark, d):
+    return encoding.restore(_read(spark, d, "documents")).select("doc_id", "restored")
+
+
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_entities, p4_found, p4_cutoffs, p6_packing, p6_report, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p4_found, p4_cutoffs, p6_packing, p6_report, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 _SCORED = """scored AS (SELECT a.id, a.source_dataset, a.lie_score, t.keep_pct,
