@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cutoff, encoding, mixing, names, packing, tokens
+from . import boilerplate, cutoff, encoding, mixing, names, packing, residue, tokens
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -27,6 +27,30 @@ def p1_entities(spark, d):
     return names.resolve(_mentions(spark, d))
 
 
+def _pages(spark, d):
+    return _read(spark, d, "speaker_urls").select("id", "url", "cleaned_text")
+
+
+def p2_found(spark, d):
+    return residue.residue_pages(_pages(spark, d))
+
+
+def _bodies(spark, d):
+    """Pages without those of p2_found, and the labeller."""
+    pages = _pages(spark, d)
+    net = boilerplate.train(pages)
+    return pages.join(residue.residue_pages(pages, net), "id", "left_anti"), net
+
+
+def p3_found(spark, d):
+    pages, net = _bodies(spark, d)
+    return boilerplate.furniture_lines(pages, net).filter("furniture").select("id", "line_no").distinct()
+
+
+def p3_bodies(spark, d):
+    return boilerplate.main_bodies(*_bodies(spark, d))
+
+
 def p4_found(spark, d):
     acc = _read(spark, d, "accusations").select("id", "source_dataset", "lie_score")
     return cutoff.keep(acc, cutoff.cutoffs(acc, _read(spark, d, "cutoff_targets"))).select("id")
@@ -70,7 +94,7 @@ def p8_restored(spark, d):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_entities, p4_found, p4_cutoffs, p6_packing, p6_report, p7_mix, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p3_found, p3_bodies, p4_found, p4_cutoffs, p6_packing, p6_report, p7_mix, p7_shares, p8_found, p8_restored)}
 
 
 _SCORED = """scored AS (SELECT a.id, a.source_dataset, a.lie_score, t.keep_pct,
