@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import keyed
+from . import descriptive, histories, keyed, people, scalar
 
-MODULES = (keyed,)
+MODULES = (descriptive, scalar, histories, people, keyed)
 
 
 def queries():
