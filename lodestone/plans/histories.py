@@ -40,11 +40,11 @@ def asof_or_first(spark, d):
     return asof.asof_join(_ships(spark, d), h, ["cust"], "at", "day", ["price"], [F.col("o_orderkey")], or_first=True).select("l_orderkey", "l_linenumber", "price")
 
 
-@query("""SELECT o_orderkey, round(o_totalprice, 2) AS last, round(avg(o_totalprice) OVER w, 2) avg_all, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) avg_3,
-round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS delta FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+@query("""SELECT o_orderkey, round(o_totalprice, 7) AS last, round(avg(o_totalprice) OVER w, 7) avg_all, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 7) avg_3,
+round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 7) AS delta FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def history_vars(spark, d):
     h = asof.running_history(_orders(spark, d), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice")
-    return h.select("o_orderkey", *[F.round(c, 2).alias(c) for c in ("last", "avg_all", "avg_3", "delta")])
+    return h.select("o_orderkey", *[F.round(c, 7).alias(c) for c in ("last", "avg_all", "avg_3", "delta")])
 
 
 @query("""WITH g AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END act, lead(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) nxt,

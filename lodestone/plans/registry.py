@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import descriptive, histories, keyed, people, scalar
+from . import descriptive, histories, keyed, people, scalar, state
 
-MODULES = (descriptive, scalar, histories, people, keyed)
+MODULES = (descriptive, scalar, histories, people, state, keyed)
 
 
 def queries():

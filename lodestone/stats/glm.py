@@ -149,6 +149,42 @@ def fit_counts(df: DataFrame, y: str, numeric: Sequence[str] = (), factors: Sequ
     return Fit(names, beta, cov, float(s[1] / max(1, n - np.linalg.matrix_rank(g))), n, clusters)
 
 
+def fit_small(x: np.ndarray, y: np.ndarray, offset: np.ndarray, alpha: float | None = None, iterations: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, HC1 standard errors) of one group's few rows: Poisson, or negative-binomial with fixed ``alpha``."""
+    beta = None
+    for _ in range(iterations):
+        mu = np.exp(np.clip(x @ beta + offset, -30, 30)) if beta is not None else y + 0.1
+        v = mu if alpha is None else mu + alpha * mu * mu
+        w, z = mu * mu / v, np.log(mu) - offset + (y - mu) / mu
+        g = (x * w[:, None]).T @ x
+        new = np.linalg.lstsq(g, x.T @ (w * z), rcond=None)[0]
+        done, beta = beta is not None and np.max(np.abs(new - beta)) < 1e-10, new
+        if done:
+            break
+    mu = np.exp(np.clip(x @ beta + offset, -30, 30))
+    v = mu if alpha is None else mu + alpha * mu * mu
+    bread, sc = np.linalg.pinv((x * (mu * mu / v)[:, None]).T @ x), x * ((y - mu) * mu / v)[:, None]
+    n, k = x.shape
+    return beta, np.sqrt(np.maximum(np.diag(n / max(1, n - k) * bread @ (sc.T @ sc) @ bread), 0))
+
+
+def trends(df: DataFrame, group: str, time: str, y: str, exposure: str, least: int, alpha: float | None = 1.0) -> DataFrame:
+    """``<group>, slope, se, direction`` of each group's rate over time, for groups with ``least`` rows; a group is one aggregated series."""
+    kind = df.schema[group].dataType.simpleString()
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[(pdf[exposure] > 0)].dropna().sort_values(time)
+        cols = [group, "slope", "se", "direction"]
+        if len(pdf) < least:
+            return pd.DataFrame(columns=cols)
+        x = np.column_stack([np.ones(len(pdf)), pdf[time].to_numpy(float) - pdf[time].mean()])
+        b, se = fit_small(x, pdf[y].to_numpy(float), np.log(pdf[exposure].to_numpy(float)), alpha)
+        low, high = b[1] - 1.959964 * se[1], b[1] + 1.959964 * se[1]
+        return pd.DataFrame([(key[0], b[1], se[1], "up" if low > 0 else "down" if high < 0 else "flat")], columns=cols)
+
+    return df.select(group, time, y, exposure).groupBy(group).applyInPandas(one, f"{group} {kind}, slope double, se double, direction string")
+
+
 def design_rank(df: DataFrame, numeric: Sequence[str], factors: Sequence[str] = ()) -> tuple[int, int, list[str]]:
     """(rank, columns, columns without variance) of the design matrix, from its Gram matrix."""
     d = df.select(*numeric, *factors).na.drop()
