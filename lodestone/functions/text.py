@@ -6,11 +6,12 @@ import difflib
 import json
 import re
 import unicodedata
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 # Roles that make a person-typed target a government, and words that tell a bloc; first match wins.
 GOVERNMENT_ROLES = r"(?i)minister|chancellor|secretary of state|premier"
@@ -181,3 +182,94 @@ def valid_codes(codes: Column, low: int, high: int) -> Column:
     """Sorted distinct integers of an array of strings within [low, high]; others are dropped."""
     ints = F.transform(codes, lambda x: x.try_cast("int"))
     return F.array_sort(F.array_distinct(F.filter(ints, lambda x: x.between(low, high))))
+
+
+#: Elements, and words in an element's class or id, that hold no content.
+HTML_DROP = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg", "button")
+HTML_NOISE = r"(?i)\b(nav|menu|cookie|banner|sidebar|footer|breadcrumb|advert|promo|social|share)"
+HTML_LIMIT, HTML_LEAST, CUT_MARK = 80_000, 100, "\n[truncated]"
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+class _Text(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.open: list[tuple[str, bool]] = []
+
+    @property
+    def quiet(self) -> bool:
+        return bool(self.open) and self.open[-1][1]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        noise = any(k in ("class", "id") and v and re.search(HTML_NOISE, v) for k, v in attrs)
+        if tag in _VOID:
+            self.out.append("\n" if tag in ("br", "hr") else "")
+            return
+        self.open.append((tag, self.quiet or tag in HTML_DROP or noise))
+        if tag not in ("a", "b", "i", "em", "strong", "span"):
+            self.out.append("\n")
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(t == tag for t, _ in self.open):
+            while self.open and self.open.pop()[0] != tag:
+                pass
+        if tag not in ("a", "b", "i", "em", "strong", "span"):
+            self.out.append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if not self.quiet:
+            self.out.append(data)
+
+
+@F.pandas_udf(StringType())
+def html_text(s: pd.Series) -> pd.Series:
+    """Text of HTML pages: no navigation or other noise, one line per block, at most one blank line; null below the least length, cut at the limit."""
+
+    def one(h: str | None) -> str | None:
+        if h is None:
+            return None
+        p = _Text()
+        p.feed(h)
+        p.close()
+        t = re.sub(r"\n{3,}", "\n\n", "\n".join(" ".join(x.split()) for x in "".join(p.out).split("\n"))).strip()
+        if len(t) < HTML_LEAST:
+            return None
+        return t if len(t) <= HTML_LIMIT else t[:HTML_LIMIT] + CUT_MARK
+
+    return s.map(one)
+
+
+def _chain(text: str | None, lang: str | None) -> list[str]:
+    if not text or not text.strip():
+        return []
+    if lang == "cs":
+        parts = [p.strip() for p in re.split(r"\s{2,}", text) if len(p.strip()) > 5]
+        if len(parts) > 1:
+            return parts
+    parts = [p for p in re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-ÞА-Я\"'„“])", text.strip()) if p]
+    if len(parts) == 1 and len(text) > 1000:
+        parts = [p.strip() for p in re.split(r"(?<=[.!?])\s+|\n+", text) if p.strip()]
+    if len(parts) == 1 and len(text) > 500:
+        parts = [p.strip() for p in re.split(r"[.!?;:\n]+", text) if len(p.strip()) > 10] or [text.strip()]
+    if len(parts) == 1 and len(parts[0]) > 500:
+        out, line = [], ""
+        for w in parts[0].split():
+            if line and len(line) + 1 + len(w) > 500:
+                out.append(line)
+                line = w
+            else:
+                line = f"{line} {w}" if line else w
+        parts = [*out, line] if line else out
+    return parts
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def split_chain(text: pd.Series, lang: pd.Series) -> pd.Series:
+    """Pieces for translation: by double spaces (cs), by sentence ends, then by ever weaker marks, at last by words packed to 500 characters."""
+    return pd.Series([_chain(t, v) for t, v in zip(text, lang)])
+
+
+def clean_name(name: Column, kind: Column, looked_up: Column) -> Column:
+    """A speaker's display name by kind of source: looked up by id, title-cased, or as it stands."""
+    return F.when(kind == "tei", F.coalesce(looked_up, name)).when(kind == "caps", titlecase_caps(name)).otherwise(collapse_ws(name))

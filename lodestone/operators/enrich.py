@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .asof import timeline_pick
+from .asof import asof_join, running_history, timeline_pick, years_since_active
 
 A = "gender string, birth_year int, birth_place string, confidence string"
 B = "parties array<struct<partyfacts_id: bigint, partyfacts_name: string, party_name_raw: string, start_year: int, end_year: int>>, n_parties int, confidence string"
@@ -51,3 +51,24 @@ def join_back(facts: DataFrame, dim: DataFrame, keys: Sequence[str], prefix: str
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__{k}"))
     return facts.join(d, cond, "left").drop(*[f"__{k}" for k in keys])
+
+
+def party_measures(keys: DataFrame, elections: DataFrame, cabinets: DataFrame, scores: DataFrame, measures: Sequence[str]) -> DataFrame:
+    """Of each (party, date): vote shares as of the date, government record, and expert scores.
+
+    ``elections``: ``party, day, vote_share`` (NaN counts as missing). ``cabinets``: ``country, cabinet, day, party, in_cabinet, is_pm``, one row per party in
+    a cabinet's parliament. ``scores``: ``party, day`` and the measures; a date before the first record takes the first. Years since government run
+    from the start of the cabinet after the last one the party was in; null if it is in or never was.
+    """
+    k = keys.select("party", "date").distinct()
+    e = elections.filter("vote_share IS NOT NULL AND NOT isnan(vote_share)")
+    h = running_history(e, "party", ["day"], "vote_share").select("party", "day", *[F.col(c).alias(n) for c, n in (("last", "vote_share_last"), ("avg_all", "vote_share_avg"), ("avg_3", "vote_share_avg_last3"), ("delta", "vote_share_delta"))])
+    k = asof_join(k, h, ["party"], "date", "day", h.columns[2:])
+    starts = cabinets.select("country", "day").distinct()
+    members = cabinets.filter("party IS NOT NULL").select("country", "party").distinct()
+    grid = members.join(starts, "country").join(cabinets.select("country", "day", "party", "in_cabinet", "is_pm"), ["country", "day", "party"], "left")
+    grid = grid.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("in_cabinet", "is_pm")})
+    g = years_since_active(grid, "country", "party", "day", "in_cabinet").select("party", "day", "in_cabinet", "is_pm", "exited")
+    k = asof_join(k, g, ["party"], "date", "day", ["in_cabinet", "is_pm", "exited"])
+    k = k.withColumn("years_since_government", F.when(F.col("in_cabinet") == 1, 0.0).otherwise(F.round(F.datediff("date", "exited") / 365.25, 2))).drop("exited")
+    return asof_join(k, scores, ["party"], "date", "day", list(measures), or_first=True)

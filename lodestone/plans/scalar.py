@@ -127,3 +127,19 @@ def snippet_packing(spark, d):
     w = W.partitionBy("speaker_id").orderBy(F.coalesce("search_rank", F.lit(999)), "id")
     u = u.withColumns({"run": F.sum("b").over(w.rowsBetween(W.unboundedPreceding, 0)), "rn": F.row_number().over(w)}).filter("rn = 1 OR run <= 1500")
     return u.groupBy("speaker_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("b").alias("bytes"))
+
+
+@query()
+def translation_pieces(spark, d):
+    """Documents cut into pieces for translation."""
+    x = read(spark, d, "documents", "doc_id", "text", "lang")
+    return x.select("doc_id", F.posexplode(T.split_chain("text", F.substring("lang", 1, 2))).alias("pos", "piece"))
+
+
+@query()
+def html_to_text(spark, d):
+    """Page texts wrapped as HTML with navigation and read back: the navigation goes, the lines stay."""
+    u = read(spark, d, "speaker_urls", "id", "cleaned_text").filter("cleaned_text IS NOT NULL")
+    esc = F.replace(F.replace("cleaned_text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<html><body><nav>Home</nav><div class='cookie-banner'>OK</div><main>"), F.array_join(F.transform(F.split(esc, "\n"), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), ""), F.lit("</main></body></html>"))
+    return u.select("id", T.html_text(html).alias("text"))

@@ -192,6 +192,30 @@ def test_asof_or_first(spark):
     assert rows(asof.asof_join(f, h, ["k"], "at", "day", ["v"], or_first=True), "at", "v") == [("1999", 0.1), ("2004", 0.3)]
 
 
+def test_party_measures(spark):
+    from lodestone.operators import enrich
+
+    keys = spark.createDataFrame([("10", "2009-01-01"), ("30", "2004-01-01"), ("10", "1999-01-01")], "party string, date string")
+    el = spark.createDataFrame([("10", "1999-06-01", 20.0), ("10", "2003-01-01", 30.0), ("10", "2007-01-01", 25.0), ("10", "2008-01-01", float("nan"))], "party string, day string, vote_share double")
+    cab = spark.createDataFrame([("c", 1, "2000-01-01", "10", 1, 1), ("c", 2, "2004-01-01", "30", 1, 1), ("c", 3, "2008-01-01", "30", 1, 1)], "country string, cabinet int, day string, party string, in_cabinet int, is_pm int")
+    sc = spark.createDataFrame([("10", "2000-01-01", 0.1), ("10", "2004-01-01", 0.3)], "party string, day string, populism double")
+    got = {(r.party, r.date): (r.vote_share_last, r.vote_share_avg, r.vote_share_delta, r.in_cabinet, r.is_pm, r.years_since_government, r.populism) for r in enrich.party_measures(keys, el, cab, sc, ["populism"]).collect()}
+    assert got[("10", "2009-01-01")] == (25.0, 25.0, -5.0, 0, 0, 5.0, 0.3)
+    assert got[("30", "2004-01-01")] == (None, None, None, 1, 1, 0.0, None)
+    assert got[("10", "1999-01-01")] == (None, None, None, None, None, None, 0.1)
+
+
+def test_html_and_pieces(spark):
+    body = "A long paragraph about the member of parliament and the many offices held over the years. " * 2
+    h = f"<html><nav>Home</nav><div id='cookie-bar'>OK <b>x</b></div><h1>Jo &amp; Co</h1><p>{body}<br>next</p><script>var a;</script></html>"
+    assert one(spark, T.html_text("h"), h=h) == "Jo & Co\n\n" + body.strip() + "\nnext"
+    assert one(spark, T.html_text("h"), h="<p>short</p>") is None
+    assert one(spark, T.split_chain("t", F.lit("cs")), t="První věta tady  druhá věta tam") == ["První věta tady", "druhá věta tam"]
+    assert one(spark, T.split_chain("t", F.lit("de")), t="Ein Satz. Noch einer!") == ["Ein Satz.", "Noch einer!"]
+    long = one(spark, T.split_chain("t", F.lit("de")), t="wort " * 300)
+    assert len(long) > 1 and max(map(len, long)) <= 500 and " ".join(long) == ("wort " * 300).strip()
+
+
 # -- rates and panels -----------------------------------------------------------------------------------------------
 
 
