@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,8 +79,13 @@ def seed_label(folded: str, raw: str, names: bool, words: int, title: bool) -> i
     return -1
 
 
-def read_page(text: str, url: str | None) -> tuple[list[int], np.ndarray, list[list[int]], list[int]]:
-    """(numbers of the lines that aren't blank, their shapes, their hashed words, their seed labels)."""
+@lru_cache(maxsize=200_000)
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode()) % HASHES
+
+
+def read_page(text: str, url: str | None, seeds: bool = False) -> tuple[list[int], np.ndarray, list[list[int]], list[int]]:
+    """(numbers of the lines that aren't blank, their shapes, their hashed words, their seed labels if wanted)."""
     page = Page(url)
     raw = text.split("\n")
     keep = [i for i, line in enumerate(raw) if line.strip()]
@@ -91,7 +97,8 @@ def read_page(text: str, url: str | None) -> tuple[list[int], np.ndarray, list[l
         toks = _WORD.findall(f)
         names = "\x02" in f
         title = names and not [t for t in toks if t != "0"]
-        labels.append(seed_label(f.replace("\x02", ""), line, names, len(toks) + names, title))
+        if seeds:
+            labels.append(seed_label(f.replace("\x02", ""), line, names, len(toks) + names, title))
         ln = len(line)
         v = shape[k]
         v[0], v[1] = k / max(1, n - 1), min(k, 20) / 20
@@ -116,9 +123,9 @@ def read_page(text: str, url: str | None) -> tuple[list[int], np.ndarray, list[l
         v[26] = line.isupper()
         v[27] = f in MENU
         v[28], v[29] = n < 6, min(n, 60) / 60
-        hashed = [zlib.crc32(t.encode()) % HASHES for t in toks[:60]]
-        hashed += [zlib.crc32((a + " " + b).encode()) % HASHES for a, b in zip(toks[:12], toks[1:13])]
-        hashed += [zlib.crc32(("^" + toks[0]).encode()) % HASHES, zlib.crc32(("$" + toks[-1]).encode()) % HASHES, zlib.crc32(("=" + " ".join(toks[:8])).encode()) % HASHES] if toks else [0]
+        hashed = [_hash(t) for t in toks[:60]]
+        hashed += [_hash(a + " " + b) for a, b in zip(toks[:12], toks[1:13])]
+        hashed += [_hash("^" + toks[0]), _hash("$" + toks[-1]), _hash("=" + " ".join(toks[:8]))] if toks else [0]
         words.append(hashed)
     return [i + 1 for i in keep], shape, words, labels
 
@@ -272,7 +279,7 @@ def label(net: BiLSTM, pages: list[tuple[np.ndarray, list[list[int]]]]) -> list[
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> BiLSTM:
     """Fits the labeller on at most ``sample`` pages drawn by a hash of their id, none longer than SAMPLE_CHARS characters."""
     rows = pages.filter(F.length(F.trim("cleaned_text")) > 0).filter(F.length("cleaned_text") <= SAMPLE_CHARS).select("id", "url", "cleaned_text").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).collect()
-    read = [read_page(r.cleaned_text, r.url) for r in rows]
+    read = [read_page(r.cleaned_text, r.url, seeds=True) for r in rows]
     return fit([(s, w, lab) for _, s, w, lab in read if 0 < len(s) <= SAMPLE_LINES])
 
 

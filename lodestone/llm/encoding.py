@@ -33,6 +33,8 @@ MAX_BIGRAMS, MAX_SYMBOLS = 500_000, 500_000
 #: A single sign in this share of a source's documents is a letter there and stands for itself; in the second share, it's proper somewhere.
 #: Wrong encodings are taken to hit fewer documents than that, each kind by itself. Sources below MIN_DOCS documents count as having so many.
 COMMON, PROPER, MIN_DOCS = 0.1, 0.03, 100
+#: Uses of proper letters beside improbable neighbours from which those letters are doubted.
+UNLIKELY = 3
 LOST = "�"
 
 
@@ -155,15 +157,22 @@ def _ctx(c: str) -> str:
     return "0" if c.isdigit() and c.isascii() else " " if c.isspace() else c
 
 
+@lru_cache(maxsize=400_000)
+def _around(left: str, run: str, right: str) -> tuple[tuple[str, str, str], ...]:
+    syms = (_ctx(left), *symbols(run), _ctx(right))
+    return tuple(zip(syms, syms[1:], syms[2:]))
+
+
+#: A run with the character before and after it.
+RUN_AROUND = re.compile(r"([\x00-\x7f]?)([^\x00-\x7f]+)(?=([\x00-\x7f]?))")
+
+
 def occurrences(text: str) -> Counter:
     """Counts of (left, symbol, right); neighbours are symbols or single ASCII characters."""
     out: Counter = Counter()
-    for m in RUN.finditer(text):
-        syms = symbols(m.group())
-        left = _ctx(text[m.start() - 1]) if m.start() else " "
-        right = _ctx(text[m.end()]) if m.end() < len(text) else " "
-        for i, s in enumerate(syms):
-            out[(syms[i - 1] if i else left, s, syms[i + 1] if i + 1 < len(syms) else right)] += 1
+    for (left, run, right), n in Counter(RUN_AROUND.findall(text)).items():
+        for o in _around(left or " ", run, right or " "):
+            out[o] += n
     return out
 
 
@@ -241,13 +250,16 @@ def decode(text: str, table: dict[str, dict[str, float]], trust: dict[str, float
     none = ([0.0] * 3, [{}, {}, {}])
     occ = occurrences(text)
     odd, theta = set(), {}
-    for l, s, r in occ:
+    unlikely: Counter = Counter()
+    for (l, s, r), n in occ.items():
         if s not in theta:
             theta[s] = table.get(s) or start(s, big)
             if hard(s) or trust.get(s, 1.0) < 0.5 or theta[s].get(s, 0.0) < 0.9:
                 odd.add(s)
         if s not in odd and big(l, s) * big(s, r) < 1e-8:
-            odd.add(s)
+            unlikely[s] += n
+    if sum(unlikely.values()) >= UNLIKELY:  # fewer are the rare pairs of any text
+        odd |= set(unlikely)
     odd = {s for s in odd if len(big.candidates(s)) > 1}
     if not odd:
         return none  # it reads well as it stands
@@ -278,21 +290,30 @@ def apply(text: str, mapping: dict[str, str]) -> str:
     return text.translate({ord(s): a for s, a in mapping.items() if len(s) == 1 and s != LOST})
 
 
+@lru_cache(maxsize=200_000)
+def _masked(run: str) -> str:
+    return UNIT.sub("\x00", run)
+
+
 def _count_bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of neighbouring characters of each batch, digits, white space and Han characters folded, counted over a dense alphabet."""
+    number = np.zeros(0x110000, np.int64)
     for pdf in batches:
-        keys, counts = [], []
-        for t in pdf["text"]:
-            t = UNIT.sub("\x00", t) if not t.isascii() else t
-            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-            c = np.where((c >= 48) & (c <= 57), 48, np.where((c == 9) | (c == 10) | (c == 13) | (c == 160), 32, c))
-            c = np.concatenate(([32], c, [32]))
-            c = c[(c < 0x3400) | (c > 0xFAFF)]
-            k, n = np.unique(c[:-1] * (1 << 21) + c[1:], return_counts=True)
-            keys.append(k)
-            counts.append(n)
-        if keys:
-            k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            yield pd.DataFrame({"k": k, "n": np.bincount(at, np.concatenate(counts)).astype(np.int64)})
+        if not len(pdf):
+            continue
+        t = " ".join(t if t.isascii() else RUN.sub(lambda m: _masked(m.group()), t) for t in pdf["text"])
+        c = np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        c = np.where((c >= 48) & (c <= 57), 48, np.where((c == 9) | (c == 10) | (c == 13) | (c == 160), 32, c))
+        c = c[(c < 0x3400) | (c > 0xFAFF)]
+        used = np.zeros(0x110000, bool)
+        used[c] = True
+        alphabet = np.flatnonzero(used)
+        number[alphabet] = np.arange(len(alphabet))
+        i, n = number[c], len(alphabet)
+        k, counts = np.unique(i[:-1] * n + i[1:], return_counts=True) if n > 3000 else (None, np.bincount(i[:-1] * n + i[1:], minlength=n * n))
+        k = np.flatnonzero(counts) if k is None else k
+        counts = counts[k] if len(counts) == n * n else counts
+        yield pd.DataFrame({"k": alphabet[k // n] * (1 << 21) + alphabet[k % n], "n": counts.astype(np.int64)})
 
 
 def bigrams(docs: DataFrame) -> Bigrams:

@@ -4,17 +4,37 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 _FOLD = str.maketrans({"ß": "ss", "ł": "l", "ø": "o", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"})
-_SPACE = re.compile(r"\s+")
 #: Parts of a host that aren't the site's name.
 HOST_PARTS = frozenset("www m en de fr es sv org gov news example com net info co".split())
 
 
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
+@lru_cache(maxsize=50_000)
+def _fold(s: str) -> str:
+    s = _MARKS.sub("", unicodedata.normalize("NFKD", s.lower())).translate(_FOLD)
+    return " ".join(s.split())
+
+
 def fold(s: str) -> str:
     """Without accents, in lower case, white space collapsed."""
-    s = unicodedata.normalize("NFKD", s.lower()).translate(_FOLD)
-    return _SPACE.sub(" ", "".join(c for c in s if not unicodedata.combining(c))).strip()
+    if s.isascii():
+        return " ".join(s.lower().split())
+    return _fold(s) if len(s) < 200 else _fold.__wrapped__(s)
+
+
+@lru_cache(maxsize=20_000)
+def _name_re(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + r")(?:s|'s|’s)?\b")
+
+
+@lru_cache(maxsize=20_000)
+def _site_re(site: str) -> re.Pattern:
+    return re.compile(r"[\W_]*".join(map(re.escape, site)))
 
 
 def address(url: str | None) -> tuple[list[str], str]:
@@ -34,13 +54,13 @@ class Page:
         self.name, self.site = address(url)
         long = [w for w in self.name if len(w) >= 4]
         self.family = (self.name[-1:] if self.name and len(self.name[-1]) >= 3 else long[-1:]) or []
-        self.name_re = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(self.name, key=len, reverse=True))) + r")(?:s|'s|’s)?\b") if self.name else None
-        self.site_re = re.compile(r"[\W_]*".join(map(re.escape, self.site))) if len(self.site) >= 3 else None
+        self.name_re = _name_re(tuple(self.name)) if self.name else None
+        self.site_re = _site_re(self.site) if len(self.site) >= 3 else None
 
     def names_speaker(self, folded: str) -> bool:
         return any(w in folded for w in self.family)
 
     def mask(self, folded: str) -> str:
-        if self.site_re:
+        if self.site_re and self.site[:2] in folded:
             folded = self.site_re.sub("\x01", folded)
-        return self.name_re.sub("\x02", folded) if self.name_re else folded
+        return self.name_re.sub("\x02", folded) if self.name_re and any(w in folded for w in self.name) else folded

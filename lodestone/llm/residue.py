@@ -26,6 +26,8 @@ SLOT = re.compile(
     r"\{\{.*?\}\}|\$\{.*?\}|#\{.*?\}|\{%.*?%\}|<%.*?%>|\[\[.*?\]\]|«[\w .]{1,40}»|@@.{1,40}?@@|__\w{1,40}?__|%[a-z][a-z_]{1,40}%|\{\w{0,40}\}|<insert [^<>]{1,40}>|<[a-z_ ]{1,40}>|\[object object\]"
     r"|\[[a-z_ ]{2,40}\]|\bundefined\b|\bnull\b|\bnan\b|\bn/a\b"
 )
+#: What a line must hold for SLOT to match at all.
+_MAY = re.compile(r"[{}$#%<\[«@_]|undefined|null|nan|n/a")
 _HEX = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,7 +46,7 @@ def skeletons(text: str, url: str | None) -> tuple[bool, list[tuple[int, str]]]:
         f = fold(line)
         if not f:
             continue
-        slots = SLOT.sub("\x03", f)
+        slots = SLOT.sub("\x03", f) if _MAY.search(f) else f
         masked = page.mask(slots)
         words = _WORD.findall(masked)
         if page.names_speaker(f) and len(words) >= SENTENCE_WORDS and f[-1:] in ".!?:;" and "\x03" not in slots:
