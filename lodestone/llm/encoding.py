@@ -52,13 +52,23 @@ BYTES = {p: _byte_of(p) for p in READ_AS}
 CHARS = {p: [bytes([b]).decode(p, "replace") for b in range(256)] for p in WRITTEN_IN}
 
 
+def _likely(letter: str, page: str) -> bool:
+    """Whether a UTF-8 letter is one that texts hold: Latin, Greek, Cyrillic, punctuation and signs; read as cp1252, of any script. Without
+    this bound, plain Cyrillic words are UTF-8 sequences under other pages."""
+    o = ord(letter)
+    return o < 0x250 or 0x340 <= o < 0x530 or 0x1E00 <= o < 0x20D0 or 0x2100 <= o < 0x2180 or 0x2700 <= o < 0x2740 or o in (0xFEFF, 0xFFFD) or 0xFB00 <= o < 0xFB07 or page == "cp1252"
+
+
 def _unit_pattern() -> re.Pattern:
-    """Runs that are one or more UTF-8 letters read with one of the pages, as ``(lead cont+)+``."""
+    """UTF-8 letters read with one of the pages, the likely ones."""
     alts = []
-    for m in BYTES.values():
-        cls = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in m.items() if lo <= b <= hi) + "]"  # noqa: B023, E731
-        c = cls(0x80, 0xBF)
-        alts.append(f"{cls(0xC2, 0xDF)}{c}|{cls(0xE0, 0xEF)}{c}{c}|{cls(0xF0, 0xF4)}{c}{c}{c}")
+    for page, m in BYTES.items():
+        cls = lambda *spans: "[" + "".join(re.escape(c) for c, b in m.items() if any(lo <= b <= hi for lo, hi in spans)) + "]"  # noqa: B023, E731
+        c = cls((0x80, 0xBF))
+        if page == "cp1252":
+            alts.append(f"{cls((0xC2, 0xDF))}{c}|{cls((0xE0, 0xEF))}{c}{c}|{cls((0xF0, 0xF4))}{c}{c}{c}")
+        else:
+            alts.append(f"{cls((0xC2, 0xC9), (0xCD, 0xD4))}{c}|{cls((0xE2, 0xE2))}{cls((0x80, 0x82), (0x84, 0x85), (0x9C, 0x9C))}{c}|{cls((0xE1, 0xE1))}{cls((0xB8, 0xBB))}{c}|{cls((0xEF, 0xEF))}{c}{c}")
     return re.compile("|".join(alts))
 
 
@@ -70,12 +80,12 @@ HAN = re.compile(r"[㐀-鿿-]")
 def _one(seq: str) -> list[str]:
     """The letters a sequence of characters is, if it is one UTF-8 letter read with some page."""
     out = []
-    for m in BYTES.values():
+    for page, m in BYTES.items():
         try:
             t = bytes(m[c] for c in seq).decode("utf-8")
         except (KeyError, UnicodeDecodeError):
             continue
-        if len(t) == 1 and t not in out:
+        if len(t) == 1 and t not in out and _likely(t, page):
             out.append(t)
     return out
 
@@ -84,7 +94,7 @@ def _split(s: str, depth: int = 3) -> list[tuple[str, str | None]]:
     """``s`` as (sequence, letter) units; letter None for a character that belongs to no UTF-8 sequence. Undone up to ``depth`` times."""
     best: list[tuple[str, str | None]] = []
     best_n = -1
-    for m in BYTES.values():
+    for page, m in BYTES.items():
         out, i, n = [], 0, 0
         while i < len(s):
             b = m.get(s[i], 0)
@@ -93,6 +103,7 @@ def _split(s: str, depth: int = 3) -> list[tuple[str, str | None]]:
             if k > 1 and i + k <= len(s):
                 try:
                     letter = bytes(m[c] for c in s[i : i + k]).decode("utf-8")
+                    letter = letter if _likely(letter, page) else None
                 except (KeyError, UnicodeDecodeError):
                     letter = None
             k = k if letter else 1
