@@ -33,8 +33,6 @@ MAX_BIGRAMS, MAX_SYMBOLS = 500_000, 500_000
 #: A single sign in this share of a source's documents is a letter there and stands for itself; in the second share, it's proper somewhere.
 #: Wrong encodings are taken to hit fewer documents than that, each kind by itself. Sources below MIN_DOCS documents count as having so many.
 COMMON, PROPER, MIN_DOCS = 0.1, 0.03, 100
-#: Uses of proper letters beside improbable neighbours from which those letters are doubted.
-UNLIKELY = 3
 LOST = "�"
 
 
@@ -261,16 +259,13 @@ def decode(text: str, table: dict[str, dict[str, float]], trust: dict[str, float
     none = ([0.0] * 3, [{}, {}, {}])
     occ = occurrences(text)
     odd, theta = set(), {}
-    unlikely: Counter = Counter()
-    for (l, s, r), n in occ.items():
+    for l, s, r in occ:
         if s not in theta:
             theta[s] = table.get(s) or start(s, big)
             if hard(s) or trust.get(s, 1.0) < 0.5 or theta[s].get(s, 0.0) < 0.9:
                 odd.add(s)
-        if s not in odd and big(l, s) * big(s, r) < 1e-8:
-            unlikely[s] += n
-    if sum(unlikely.values()) >= UNLIKELY:  # fewer are the rare pairs of any text
-        odd |= set(unlikely)
+        if s not in odd and (min(pair := (big(l, s), big(s, r))) <= FLOOR or pair[0] * pair[1] < 1e-8):
+            odd.add(s)  # a single improbable use is enough; threshold and word check decide
     odd = {s for s in odd if len(big.candidates(s)) > 1}
     if not odd:
         return none  # it reads well as it stands

@@ -273,6 +273,23 @@ def test_restore_round_trip(spark):
     assert encoding.restore(df.filter("false")).count() == 0
 
 
+CZECH = ["Ve sněmovně jsou při hlasování tři návrhy a jeden příspěvek.", "Předseda přečetl čtyři zprávy, které výbor připravil.", "Ministr řekl, že rozpočet přinese třikrát více peněz.", "Při jednání přišel čas na řadu otázek a tři odpovědi."]
+DANISH = ["Et større beløb går til støtte for miljøet og sundhedsvæsenet.", "Spørgsmålet om børn og skøde løses først i København.", "Vi ønsker grønne løsninger og høje lønninger før året er omme."]
+
+
+def mixed(n, texts, seed):
+    r = random.Random(seed)
+    return [" ".join(r.choice(texts) for _ in range(3)) for _ in range(n)]
+
+
+def test_one_improbable_use_is_doubted(spark):
+    clean = mixed(150, CZECH, 1) + mixed(150, DANISH, 2)
+    docs = [(i, "S", t) for i, t in enumerate(clean)]
+    docs += [(1000, "S", "Poslanci podali tøi návrhy."), (1001, "S", "Vi venter på støtte før mødet.")]  # cp1250 read as cp1252, one letter; proper
+    got = {r.doc_id: r.restored for r in encoding.restore(spark.createDataFrame(docs, "doc_id bigint, source string, text string")).collect()}
+    assert got == {1000: "Poslanci podali tři návrhy."}
+
+
 def test_units():
     assert encoding.symbols("Ã¼") == ("Ã¼",) and "ü" in encoding.candidates("Ã¼")
     assert encoding.symbols("Ã\x83Â¼") == ("Ã\x83Â¼",) and "ü" in encoding.candidates("Ã\x83Â¼")
