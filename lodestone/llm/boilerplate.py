@@ -23,8 +23,8 @@ from .page_lines import Page, fold
 #: Pages the labeller is trained on at most, the longest of them in characters and lines, and its sizes.
 SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_LINES = 2400, 20_000, 160
 HASHES, WORD_DIM, HIDDEN, EPOCHS, BATCH = 2048, 24, 32, 7, 48
-#: Padded lines labelled at once.
-CELLS = 16_384
+#: Padded lines and hashed words labelled at once; a page beyond that is labelled by itself.
+CELLS, CELL_WORDS = 16_384, 500_000
 
 #: Headings, statements and list entries of a biography (folded; 0 for numbers). They are main body.
 MAIN_SEEDS = re.compile(
@@ -123,8 +123,8 @@ def read_page(text: str, url: str | None, seeds: bool = False) -> tuple[list[int
         v[26] = line.isupper()
         v[27] = f in MENU
         v[28], v[29] = n < 6, min(n, 60) / 60
-        hashed = [_hash(t) for t in toks[:60]]
-        hashed += [_hash(a + " " + b) for a, b in zip(toks[:12], toks[1:13])]
+        hashed = [_hash(t) for t in toks]
+        hashed += [zlib.crc32(f"{a} {b}".encode()) % HASHES for a, b in zip(toks, toks[1:])]
         hashed += [_hash("^" + toks[0]), _hash("$" + toks[-1]), _hash("=" + " ".join(toks[:8]))] if toks else [0]
         words.append(hashed)
     return [i + 1 for i in keep], shape, words, labels
@@ -159,9 +159,15 @@ class BiLSTM:
         for b, (s, ws) in enumerate(pages):
             x[: len(s), b], mask[: len(s), b] = s, 1
             for k, w in enumerate(ws):
+                each = 1 / np.sqrt(len(w))
+                if len(w) > HASHES:  # a line of any length has so many different ones at most
+                    u, n = np.unique(w, return_counts=True)
+                    w, own = u.tolist(), (n * each).tolist()
+                else:
+                    own = [each] * len(w)
                 line += [k * len(pages) + b] * len(w)
                 hashes += w
-                weight += [1 / np.sqrt(len(w))] * len(w)
+                weight += own
         return x, mask, (np.array(line), np.array(hashes), np.array(weight, np.float32))
 
     def _run(self, x: np.ndarray, mask: np.ndarray, side: str, tape: list | None) -> np.ndarray:
@@ -228,7 +234,9 @@ class BiLSTM:
             dx += dz_all @ w[:d].T
         de = dx[..., SHAPE:].reshape(-1, WORD_DIM)[line] * weight[:, None]
         ge = np.zeros_like(self.p["E"])
-        np.add.at(ge, hashes, de)
+        order = np.argsort(hashes, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(hashes[order]) != 0])
+        ge[hashes[order][starts]] = np.add.reduceat(de[order], starts, axis=0)
         g["E"] = ge
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         scale = min(1.0, 1.0 / max(norm, 1e-9))
@@ -266,8 +274,8 @@ def label(net: BiLSTM, pages: list[tuple[np.ndarray, list[list[int]]]]) -> list[
     order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
     at = 0
     while at < len(order):
-        end = at + 1
-        while end < len(order) and len(pages[order[end]][0]) * (end + 1 - at) <= CELLS:
+        end, words = at + 1, sum(map(len, pages[order[at]][1]))
+        while end < len(order) and len(pages[order[end]][0]) * (end + 1 - at) <= CELLS and (words := words + sum(map(len, pages[order[end]][1]))) <= CELL_WORDS:
             end += 1
         y, *_ = net.forward([pages[i] for i in order[at:end]])
         for b, i in enumerate(order[at:end]):

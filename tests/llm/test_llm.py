@@ -230,6 +230,20 @@ def test_lstm_gradient():
     assert abs(losses[0] - before) < 1e-5 and loss() < 0.3 * before
 
 
+def test_words_of_a_long_line_all_count():
+    head, tail = ["word%d" % i for i in range(80)], ["cookie", "settings"]
+    read = lambda toks: boilerplate.read_page(" ".join(toks), None)[2][0]
+    a, b = Counter(read(head + tail)), Counter(read(head + tail[::-1]))
+    assert len(read(head + tail)) == 82 + 81 + 3 and a != b  # the order of the last two words tells
+    assert a != Counter(read(head + ["other", "settings"]))
+    net = boilerplate.BiLSTM()
+    long = [boilerplate.read_page(" ".join(head * 100 + t), None)[1:3] for t in (["cookie"] * 5000, ["member"] * 5000)]
+    p, q = boilerplate.label(net, long)
+    assert p[0] != q[0] and np.isfinite(p).all()
+    x = net.pad(long)[2]  # repeated words are counted, not dropped
+    assert len(x[0]) <= 2 * boilerplate.HASHES and math.isclose(x[2][x[0] == 0].sum(), math.sqrt(len(long[0][1][0])), rel_tol=1e-4)
+
+
 def test_page_address():
     p = Page("https://m.town-wire.example/people/ann-quillberg-77?id=3")
     assert p.name == ["ann", "quillberg"] and p.site == "townwire" and p.mask("town wire: ann quillberg") == "\x01: \x02 \x02"
