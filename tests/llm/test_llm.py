@@ -309,3 +309,31 @@ def test_units():
     assert encoding.symbols("Ã\x83Â¼") == ("Ã\x83Â¼",) and "ü" in encoding.candidates("Ã\x83Â¼")
     assert encoding.symbols("ß") == ("ß",) and encoding.candidates("林") == ("林",)
     assert encoding.apply("fÃ¼r ⁿ", {"Ã¼": "ü", "ⁿ": "u"}) == "für u"
+
+
+FRENCH = ["Le député a présenté une mesure pour la région.", "La séance a été levée après l’intervention du ministre délégué.", "Une enquête préalable était nécessaire à l’évaluation.", "Les élèves préfèrent être reçus à la bibliothèque."]
+
+
+@pytest.mark.parametrize("page,share", [("cp850", 0.05), ("cp850", 0.25), ("cp850", 1.0), ("mac_roman", 0.25), ("mac_roman", 1.0), ("cp1251", 0.25), ("cp1251", 1.0)])
+def test_garbled_share_of_a_source(spark, page, share):
+    """A source garbled in part or throughout is found and restored by what the other sources hold; those stay as they are."""
+    r = random.Random(9)
+    docs = [(i, "A", t) for i, t in enumerate(mixed(60, FRENCH, 3) + german(60, 4))]
+    docs += [(200 + i, "B", t) for i, t in enumerate(mixed(40, FRENCH, 5) + german(40, 6))] + [(400 + i, "D", t) for i, t in enumerate(mixed(50, DANISH, 7))]
+    truth = {}
+    for i, t in enumerate(mixed(50, FRENCH, 8) + german(50, 9)):
+        bad = t.encode("cp1252").decode(page, "ignore")
+        if r.random() < share:
+            truth[1000 + i] = t
+        docs.append((1000 + i, "C", bad if 1000 + i in truth else t))
+    got = {x.doc_id: x.restored for x in encoding.restore(spark.createDataFrame(docs, "doc_id bigint, source string, text string")).collect()}
+    assert not set(got) - set(truth)
+    assert len(got) >= 0.9 * len(truth) and sum(got.get(i) == t for i, t in truth.items()) >= 0.9 * len(truth)
+
+
+def test_turns_give_the_same(spark, monkeypatch):
+    docs = [(i, "S" if i % 2 else "T", t) for i, t in enumerate(german(80))] + [(1000 + i, "S", t.encode().decode("cp1252")) for i, t in enumerate(german(5, 1))]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    one = sorted((r.doc_id, r.restored) for r in encoding.restore(df).collect())
+    monkeypatch.setattr(encoding, "MAX_ROWS", 200)
+    assert one == sorted((r.doc_id, r.restored) for r in encoding.restore(df).collect()) and len(one) == 5
