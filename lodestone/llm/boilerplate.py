@@ -1,9 +1,10 @@
 """Main body of web pages: a recurrent block labeller over the lines of a page.
 
 A numpy bidirectional LSTM reads, for each line of a page in order, a path vector (its shape, its place, the lines round it, whether it names the
-speaker or the site) and the mean of its hashed words' vectors, and labels every line with the whole page in view. It is trained where
-it is used, on a bounded sample of the pages: lines that a short list of seed phrases, the layout or the speaker's name tell for sure
-are its labels, all others are left open and labelled by what it learned of their words and surroundings.
+speaker or the site) and the mean of its hashed words' vectors, and labels every line with the whole page in view. It is trained where it is
+used, on a bounded sample of pages whose lines are labelled by how the same line stands on all pages: with or beside sentences about
+the speaker, opening a body, or only round it and interrupting it. What that leaves open is labelled by the words and
+surroundings learned. A few general phrases per language help; none is needed for a language to be learned.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .page_lines import Page, fold
+from .page_lines import Page, fold, frames
 
 #: Pages the labeller is trained on at most, the longest of them in characters and lines, and its sizes.
 SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_LINES = 2400, 20_000, 160
@@ -26,56 +27,75 @@ HASHES, WORD_DIM, HIDDEN, EPOCHS, BATCH = 2048, 24, 32, 7, 48
 #: Padded lines and hashed words labelled at once; a page beyond that is labelled by itself.
 CELLS, CELL_WORDS = 16_384, 500_000
 
-#: Headings, statements and list entries of a biography (folded; 0 for numbers). They are main body.
-MAIN_SEEDS = re.compile(
-    r"^(?:education|offices held|in parliament|early life|writings|votes and speeches|career|contact with voters|formacion|obras|cargos|vida|uppvaxt|skrifter|uppdrag|utbildning"
-    r"|ausbildung|im parlament|leben|amter|veroffentlichungen|mandats|formation|publications|biographie|personal life|en el parlamento|i riksdagen|au parlement"
-    r"|0[–-]0? ?:? .{3,80}|0 ?: .{3,80}|member of the assembly since .*|elected from the national list.*|this member has made the declaration.*|miembro de la camara desde.*|ledamot sedan det senaste.*"
-    r"|membre de l.assemblee depuis.*|mitglied des hauses seit.*|i valet 0 saknades.*|sa majorite n.etait que.*|dimitio tras la votacion.*|estudio .* y trabajo como .*|angaben nach den verhaltensregeln.*)$"
-)
-#: Phrases of page furniture in five languages (folded; 0 for numbers), matched anywhere in a line.
-FURNITURE_SEEDS = re.compile(
-    r"cookie|kakor\b|^©|all rights reserved|alle rechte vorbehalten|todos los derechos|tous droits|privacy policy|datenschutz|politica de privacidad|your privacy matters|godkanner du vara villkor|acceptez nos conditions"
-    r"|accept all|reject all|allow selection|save my settings|ok, got it|manage choices|nodvandiga kakor|rechazar|tout accepter|refuser|necessary ·|^tel\. 0|report a problem|back to top|back to list|volver arriba|nach oben|till toppen|haut de page"
-    r"|skip to main|zum inhalt|saltar al contenido|till innehallet|aller au contenu|terms of use|impressum|aviso legal|webbkarta|mentions legales|tillganglighet|plan du site|powered by|^hosting:|^site by"
-    r"|you may also like|related articles|latest news|other members|most read|trending now|^more from|tambien le puede|lo mas leido|^mas en |lasc? ocksa|^las ocksa|^las aven|mest last|^mer fran|meistgelesen|konnte sie auch|weitere artikel|^mehr aus"
-    r"|a lire aussi|les plus lus|dans la meme rubrique|^sur \x01|^read also|^lea tambien|^lesen sie auch|^lire aussi|^0 (?:comments?|shares?|comentarios|kommentarer?|kommentare|commentaires|delningar|partages|veces compartido|mal geteilt)"
-    r"|sign up to our|newsletter|boletin|nyhetsbrev|lettre d.information|follow us|siganos|folj oss|folgen sie|suivez-nous|^share|tweet like|compartir ·|dela ·|teilen ·|partager ·|artikel versenden|was this page helpful"
-    r"|^advertisement|^anzeige|^annons|^publicidad|^publicite|article continues|nach der werbung|fortsatter efter annonsen|apres la publicite|continua tras|^sponsored|loading video|cargando video|video wird geladen|see the comments|kommentare zu sehen"
-    r"|click to enlarge|^updated: 0|^last modified|zuletzt geandert|^senast|^actualizado|mis a jour|no liability|not responsible|keine haftung|^quiz:|^opinion:|^analysis:|^gallery:|things to do in|what we know so far|wins by-election"
-    r"|^(?:senator|minister|deputy) \S+ opens|^bildspel:|^fotogaleria:|^bildergalerie:|^diaporama :|^huelga en|^strejk stanger|^greve :|^sturm legt|inaugura un puente|inviger bro|inaugure une passerelle|eroffnet brucke|^nachgezahlt:"
-    r"|^(?:home|start|inicio|accueil|hem|you are here:.*|du ar har:.*|sie sind hier:.*|vous etes ici.*|esta aqui.*) ?(?:[»>›/] ?.*)$|^\x01, "
-)
-#: Labels of navigation menus in five languages (folded). A line of them alone or in rows is furniture.
-MENU = frozenset(
-    """home|about us|votes|committees|calendar|debates|members|visit|search|subscribe|english|menu|log in|press room|a–z index|faq|news|skip to main content|shop|library|my account|watch live|elections|contact
-    |butik|kalender|kontakt|besok|om oss|hem|logga in|debatter|ledamoter|sok|press|meny|nyheter|utskott|till innehallet|agenda|acceder|contacto|tienda|visitas|noticias|buscar|comisiones|diputados|prensa|quienes somos
-    |menu|debates|inicio|presse|warenkorb|anmelden|leichte sprache|startseite|aktuelles|menu offnen|debatten|ausschusse|besuch|termine|uber uns|suche|mediathek|abgeordnete|boutique|debats|connexion|actualites
-    |rechercher|accueil|a propos|commissions|visiter|deputes|nous contacter|cookies|preferences|statistics|marketing|necessary""".replace("\n", "").replace("    |", "|").split("|")
-)
+#: General headings of a biography, in five languages (folded). They are main body.
+MAIN_SEEDS = re.compile(r"^(?:education|career|biography|publications|ausbildung|leben|formacion|vida|obras|formation|biographie|utbildning|skrifter)$")
+#: General phrases of page furniture, in five languages (folded).
+FURNITURE_SEEDS = re.compile(r"cookie|kakor\b|©|all rights reserved|privacy|datenschutz|newsletter|^(?:advertisement|anzeige|annons|publicidad|publicite)$|^(?:share|teilen|dela|compartir|partager)\b")
+#: A list entry that begins with a year.
+_YEAR = re.compile(r"^\d{4}(?:\s?[–-]\s?\d{2,4})?\s?:?\s+[^\W\d_]")
+#: Uses from which a frame's places tell something, and from which they tell an insertion from a heading.
+USES, MANY = 5, 12
+#: Share of a sample's lines whose words are hidden in an epoch, so that their surroundings are learned too.
+HIDDEN_LINES = 0.1
 _SEPARATED = re.compile(r"\s[·|]\s|\s{2,}")
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+")
 SHAPE = 30
 
 
-def seed_label(folded: str, raw: str, names: bool, words: int, title: bool) -> int:
-    """1 furniture, 0 main body, -1 left open."""
-    parts = [p for p in _SEPARATED.split(raw.strip()) if p]
-    if len(parts) >= 2 and all(len(p) <= 24 for p in parts) and (" · " in raw or " | " in raw or sum(fold(p) in MENU for p in parts) >= len(parts) / 2):
-        return 1
-    if folded in MENU:
-        return 1
-    if MAIN_SEEDS.match(folded):
-        return 0
-    if title:
-        return 0
-    if names and words >= 5 and folded[-1:] in ".!?" and not FURNITURE_SEEDS.search(folded[:12]):
+#: Places of a frame: uses; with a sentence about the speaker; before and after all of these; right before one; right after the title.
+PLACES = ("n", "told", "before", "after", "opens", "titled")
+
+
+def marks(page: Page, text: str) -> list[tuple[int, str, str, int, bool, bool]]:
+    """(number, line, folded and masked, words, title, sentence about the speaker) of the lines that aren't blank."""
+    out = []
+    for no, line in enumerate(text.split("\n"), 1):
+        if not line.strip():
+            continue
+        f0 = fold(line)
+        f = _DIGITS.sub("0", page.mask(f0))
+        toks = _WORD.findall(f)
+        names = "\x02" in f
+        title = names and page.is_title(line, f0)
+        out.append((no, line, f, len(toks) + names, title, names and not title and len(toks) >= 5 and f[-1:] in ".!?"))
+    return out
+
+
+def places(lines: list[tuple]) -> Iterator[tuple[str, tuple[int, ...]]]:
+    """Each frame of a page's lines with its PLACES."""
+    told = [k for k, x in enumerate(lines) if x[5]] or [k for k, x in enumerate(lines) if x[4]]
+    if not told:
+        return
+    first, last = told[0], told[-1]
+    for k, (_, line, _, _, _, sentence) in enumerate(lines):
+        titled = k > 0 and lines[k - 1][4]
+        at = (1, sentence, k < first, k > last and not titled, k + 1 < len(lines) and lines[k + 1][5], titled)
+        for f in set(frames(line)):
+            yield f, at
+
+
+def seed_label(line: str, folded: str, words: int, title: bool, sentence: bool, known: dict[str, tuple[int, ...]]) -> int:
+    """1 furniture, 0 main body, -1 left open. ``known``: the PLACES of frames over all pages."""
+    if title or sentence or MAIN_SEEDS.match(folded):
         return 0
     if FURNITURE_SEEDS.search(folded) and words <= 30:
         return 1
-    if words >= 12 and folded[-1:] in ".!?":
+    if _YEAR.match(line.strip()):
+        return 0
+    own = frames(line)
+    seen = [v for f in own if (v := known.get(f)) and v[0] >= USES]
+    if any(told >= 0.5 * n or titled >= 0.5 * n for n, told, _, _, _, titled in seen):
         return 0
+    if seen and all(told < 0.05 * n for n, told, *_ in seen):
+        if all(before + after >= 0.7 * n and opens < 0.4 * n for n, _, before, after, opens, _ in seen):
+            return 1
+        if len(seen) == len(own) == 1 and seen[0][0] >= MANY:
+            n, _, before, after, opens, _ = seen[0]
+            if opens >= 0.7 * n and before >= 0.18 * n:
+                return 0  # a heading or entry: it opens bodies too
+            if before <= 0.1 * n and after <= 0.1 * n:
+                return 1  # it only interrupts them
     return -1
 
 
@@ -84,21 +104,21 @@ def _hash(word: str) -> int:
     return zlib.crc32(word.encode()) % HASHES
 
 
-def read_page(text: str, url: str | None, seeds: bool = False) -> tuple[list[int], np.ndarray, list[list[int]], list[int]]:
-    """(numbers of the lines that aren't blank, their shapes, their hashed words, their seed labels if wanted)."""
-    page = Page(url)
+def read_page(text: str, url: str | None, name: str | None = None, known: dict[str, tuple[int, ...]] | None = None) -> tuple[list[int], np.ndarray, list[list[int]], list[int]]:
+    """(numbers of the lines that aren't blank, their shapes, their hashed words, their seed labels if the frames' places are given)."""
+    page = Page(url, name)
     raw = text.split("\n")
     keep = [i for i, line in enumerate(raw) if line.strip()]
     n = len(keep)
-    shape, words, labels = np.zeros((n, SHAPE), np.float32), [], []
+    shape, words = np.zeros((n, SHAPE), np.float32), []
+    labels = [seed_label(*x[1:], known) for x in marks(page, text)] if known is not None else []
     for k, i in enumerate(keep):
         line = raw[i].rstrip("\r")
-        f = _DIGITS.sub("0", page.mask(fold(line)))
+        f0 = fold(line)
+        f = _DIGITS.sub("0", page.mask(f0))
         toks = _WORD.findall(f)
         names = "\x02" in f
-        title = names and not [t for t in toks if t != "0"]
-        if seeds:
-            labels.append(seed_label(f.replace("\x02", ""), line, names, len(toks) + names, title))
+        title = names and page.is_title(line, f0)
         ln = len(line)
         v = shape[k]
         v[0], v[1] = k / max(1, n - 1), min(k, 20) / 20
@@ -121,7 +141,7 @@ def read_page(text: str, url: str | None, seeds: bool = False) -> tuple[list[int
         v[24] = title
         v[25] = sum(t[:1].isupper() for t in line.split()) / max(1, len(toks))
         v[26] = line.isupper()
-        v[27] = f in MENU
+        v[27] = len(_SEPARATED.findall(line)) / max(1, len(toks))
         v[28], v[29] = n < 6, min(n, 60) / 60
         hashed = [_hash(t) for t in toks]
         hashed += [zlib.crc32(f"{a} {b}".encode()) % HASHES for a, b in zip(toks, toks[1:])]
@@ -263,8 +283,8 @@ def fit(pages: list[tuple[np.ndarray, list[list[int]], list[int]]], epochs: int
             for b, (_, _, lab) in enumerate(own):
                 lab = np.array(lab)
                 y[: len(lab), b], k[: len(lab), b] = lab == 1, lab >= 0
-            # Some known lines are hidden from the loss: what they are must follow from their surroundings as well
-            net.step([p[:2] for p in own], y, k, 0.01 * (0.5 ** (e / 2.5)))
+            # The words of some lines are hidden: what these are must follow from their shape and surroundings
+            net.step([(s, [[0] if r.random() < HIDDEN_LINES else w for w in ws]) for s, ws, _ in own], y, k, 0.01 * (0.5 ** (e / 2.5)))
     return net
 
 
@@ -284,18 +304,41 @@ def label(net: BiLSTM, pages: list[tuple[np.ndarray, list[list[int]]]]) -> list[
     return out
 
 
+def _named(pages: DataFrame) -> DataFrame:
+    """``id, url, name, cleaned_text``; a missing name is null."""
+    return pages.select("id", "url", F.col("name") if "name" in pages.columns else F.lit(None).cast("string").alias("name"), "cleaned_text")
+
+
+def frame_places(pages: DataFrame) -> DataFrame:
+    """``frame`` and its PLACES, summed over all pages; sums of a batch are made before they are shuffled."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums: dict[str, np.ndarray] = {}
+            for url, name, text in zip(pdf["url"], pdf["name"], pdf["cleaned_text"]):
+                for f, at in places(marks(Page(url, name), text)):
+                    sums[f] = sums[f] + at if f in sums else np.array(at, np.int64)
+            yield pd.DataFrame([(f, *v.tolist()) for f, v in sums.items()], columns=["frame", *PLACES])
+
+    lines = _named(pages).filter("cleaned_text IS NOT NULL").mapInPandas(count, "frame string, " + ", ".join(f"{c} bigint" for c in PLACES))
+    return lines.groupBy("frame").agg(*[F.sum(c).alias(c) for c in PLACES])
+
+
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> BiLSTM:
-    """Fits the labeller on at most ``sample`` pages drawn by a hash of their id, none longer than SAMPLE_CHARS characters."""
-    rows = pages.filter(F.length(F.trim("cleaned_text")) > 0).filter(F.length("cleaned_text") <= SAMPLE_CHARS).select("id", "url", "cleaned_text").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).collect()
-    read = [read_page(r.cleaned_text, r.url, seeds=True) for r in rows]
+    """Fits the labeller on at most ``sample`` pages drawn by a hash of their id, none longer than SAMPLE_CHARS characters; what labels their lines is counted over all pages."""
+    rows = _named(pages).filter(F.length(F.trim("cleaned_text")) > 0).filter(F.length("cleaned_text") <= SAMPLE_CHARS).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample).collect()
+    own = {f for r in rows for line in r.cleaned_text.split("\n") if line.strip() for f in frames(line)}
+    wanted = F.broadcast(pages.sparkSession.createDataFrame([(f,) for f in sorted(own)], "frame string"))  # frames of the sample: at most sample * SAMPLE_CHARS characters
+    known = {r.frame: tuple(r)[1:] for r in frame_places(pages).filter(f"n >= {USES}").join(wanted, "frame", "left_semi").collect()}
+    read = [read_page(r.cleaned_text, r.url, r.name, known) for r in rows]
     return fit([(s, w, lab) for _, s, w, lab in read if 0 < len(s) <= SAMPLE_LINES])
 
 
 def furniture_lines(pages: DataFrame, net: BiLSTM | None = None, threshold: float = 0.5) -> DataFrame:
-    """``id, line_no, line, furniture`` of every line that isn't blank (``id, url, cleaned_text``; other columns are ignored).
+    """``id, line_no, line, furniture`` of every line that isn't blank (``id, url, cleaned_text`` and, if known, the speaker's ``name``; other columns are ignored).
 
-    Lines are numbered from 1 as split at line feeds. Null and blank texts have no lines; a page of any length is read as a whole; a null url tells
-    neither name nor site. Repeated ids give repeated rows.
+    Lines are numbered from 1 as split at line feeds. Null and blank texts have no lines; a page of any length is read as a whole; a null url
+    tells no site, and the name only if ``name`` does. Repeated ids give repeated rows.
     """
     net = net or train(pages)
     box = pages.sparkSession.sparkContext.broadcast(net.p)  # fixed size
@@ -304,7 +347,7 @@ def furniture_lines(pages: DataFrame, net: BiLSTM | None = None, threshold: floa
         net = BiLSTM()
         net.p = box.value
         for pdf in batches:
-            read = [read_page(t, u) for t, u in zip(pdf["cleaned_text"], pdf["url"])]
+            read = [read_page(t, u, n) for t, u, n in zip(pdf["cleaned_text"], pdf["url"], pdf["name"])]
             probs = label(net, [r[1:3] for r in read])
             rows = []
             for i, t, (nos, *_), p in zip(pdf["id"], pdf["cleaned_text"], read, probs):
@@ -313,7 +356,7 @@ def furniture_lines(pages: DataFrame, net: BiLSTM | None = None, threshold: floa
             yield pd.DataFrame(rows, columns=["id", "line_no", "line", "furniture"])
 
     kind = pages.schema["id"].dataType.simpleString()
-    texts = pages.filter("cleaned_text IS NOT NULL").select("id", "url", "cleaned_text")
+    texts = _named(pages).filter("cleaned_text IS NOT NULL")
     return texts.mapInPandas(run, f"id {kind}, line_no int, line string, furniture boolean")
 
 

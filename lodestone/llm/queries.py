@@ -28,7 +28,9 @@ def p1_entities(spark, d):
 
 
 def _pages(spark, d):
-    return _read(spark, d, "speaker_urls").select("id", "url", "cleaned_text")
+    """Pages with the name of the speaker they were found for."""
+    names = _read(spark, d, "speakers").groupBy("speaker_id").agg(F.max("name_cleaned").alias("name"))
+    return _read(spark, d, "speaker_urls").select("id", "speaker_id", "url", "cleaned_text").join(names, "speaker_id", "left").drop("speaker_id")
 
 
 def p2_found(spark, d):

@@ -1,11 +1,12 @@
-"""Template residue and error pages, found by aligning the lines of records made from the same templates.
+"""Template residue and error pages, found by aligning the records made from the same templates.
 
-Lines of all pages are reduced to skeletons: numbers, the site's and the speaker's name and whatever stands in the syntax of a variable become
-slots, so lines of one template align. Pages are split into those that say anything of their speaker (a sentence with the name)
-and those that don't. A skeleton that stands on the latter out of all proportion is residue: a template whose slots retain
-variable names, defaults or blanks, filler, or an error page's repeated text. Skeletons that are too rare to tell are judged by their
-words, counted alike. Furniture stands on both kinds of pages alike and doesn't count, nor does a bare title. Of a page without such a sentence, every
-line that is neither residue nor furniture by the block labeller speaks against it.
+Every line is reduced to a skeleton (numbers, the site's and the speaker's name and the syntax of variables masked) and to a template: its fixed words in
+order, with a slot wherever a name, a number, a variable or nothing stands between them. Lines of one template align; a column that
+holds several values over the records is an induced slot. Pages are split into those that say anything of their speaker and those that
+don't: a sentence with the name says something unless it is itself a template's, one that stands alone on its pages. What stands on the
+latter pages out of all proportion is residue: a skeleton that is frequent (filler, an error page's text), or of a rare one its slots' values
+(retained variable names, defaults, blanks, in the column or in any column) or its most telling words. Furniture stands on both kinds of pages alike and doesn't
+count, nor does a bare title. Of a page that says nothing, every line that is neither residue nor furniture by the block labeller speaks against it.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from . import boilerplate
-from .page_lines import Page, fold
+from .page_lines import Page, fold, frames
 
 #: Spellings of an unfilled slot: brackets and marks of template languages round a variable's name, and what empty values print as.
 SLOT = re.compile(
@@ -36,12 +37,38 @@ RESIDUE, CONTENT, ENOUGH = 2.0, 1.0, 4
 WORD_USES = 3
 #: A sentence: so many words at least.
 SENTENCE_WORDS = 4
+#: A sentence with the name is a template's if it is its pages' only one in this share of its uses, and it has ENOUGH.
+ALONE = 0.9
+_SENTENCES = re.compile(r"(?<=[.!?])\s+(?=\S)")
+_ONLY_MARKS = re.compile(r"^[^\w\x02\x03]+$")
 
 
-def skeletons(text: str, url: str | None) -> tuple[bool, list[tuple[int, str]]]:
-    """(whether a sentence names the speaker, number and skeleton of the lines that aren't a bare title)."""
-    page = Page(url)
-    content, out = False, []
+def template(line: str, page: Page) -> tuple[str, list[str]]:
+    """The fixed words of a line with ``^`` for each slot, and the slots' values; a mark that stands alone leaves a blank before it."""
+    fixed: list[str] = []
+    slots: list[str] = []
+    masked = page.mask(SLOT.sub("\x03", fold(line))).split()
+    raw = SLOT.sub("\x03", line).split()
+    raw = raw if len(raw) == len(masked) else masked
+    for k, (w, m) in enumerate(zip(raw, masked)):
+        m = m.strip(".,:;!?()")
+        blank = bool(_ONLY_MARKS.match(w)) and w[0] in ".,:;"
+        if blank or "\x03" in m or "\x02" in m or m[:1].isdigit() or (w[:1].isupper() and (k > 0 or raw[1:2] and raw[1][:1].isupper())):
+            value = "" if blank else _DIGITS.sub("0", m)
+            if fixed and fixed[-1] == "^":
+                slots[-1] = f"{slots[-1]} {value}".strip()
+            else:
+                fixed.append("^")
+                slots.append(value)
+        elif m:
+            fixed.append(m)
+    return " ".join(fixed), slots
+
+
+def skeletons(text: str, url: str | None, name: str | None = None) -> tuple[list[str], list[tuple[int, str, str, list[str]]]]:
+    """(skeletons of the sentences that name the speaker; number, skeleton, template and slots of the lines that aren't a bare title)."""
+    page = Page(url, name)
+    told, out = [], []
     for no, line in enumerate(text.split("\n"), 1):
         f = fold(line)
         if not f:
@@ -50,21 +77,20 @@ def skeletons(text: str, url: str | None) -> tuple[bool, list[tuple[int, str]]]:
         masked = page.mask(slots)
         words = _WORD.findall(masked)
         if page.names_speaker(f) and len(words) >= SENTENCE_WORDS and f[-1:] in ".!?:;" and "\x03" not in slots:
-            content = True
-        if not words and "\x02" in masked and "\x03" not in masked:
+            told += [" ".join(frames(page.mask(x))) for x in _SENTENCES.split(line.strip()) if page.names_speaker(fold(x))] or [masked]
+        if "\x02" in masked and "\x03" not in masked and page.is_title(line, f):
             continue  # the name, its years, the site: a bare title
-        out.append((no, _DIGITS.sub("0", _HEX.sub("0", masked))))
-    return content, out
+        out.append((no, _DIGITS.sub("0", _HEX.sub("0", masked)), *template(line, page)))
+    return told, out
 
 
 def residue_pages(pages: DataFrame, net: boilerplate.BiLSTM | None = None) -> DataFrame:
-    """``id`` of each page (``id, url, cleaned_text``; other columns are ignored) without real content but with residue.
+    """``id`` of each page (``id, url, cleaned_text`` and, if known, the speaker's ``name``; other columns are ignored) without real content but with residue.
 
-    A null, empty or blank text is no case. A page on which no sentence names the speaker is one if it has a residue line
-    and no other line of main body. A null url tells no name: such a page is judged by its lines alone. Repeated ids are judged row by row and returned once.
+    A null, empty or blank text is no case. A page on which no sentence says anything of the speaker is one if it has a residue line
+    and no other line of main body. Where neither ``name`` nor the url tells a name, a page is judged by its lines alone. Repeated ids are judged row by row and returned once.
     All lines of all pages are counted; the counts are combined before they are shuffled and nothing is collected.
     """
-
     net = net or boilerplate.train(pages)
     box = pages.sparkSession.sparkContext.broadcast(net.p)  # fixed size
 
@@ -72,40 +98,60 @@ def residue_pages(pages: DataFrame, net: boilerplate.BiLSTM | None = None) -> Da
         net = boilerplate.BiLSTM()
         net.p = box.value
         for pdf in batches:
-            rows, bare = [], []
-            for i, row, url, text in zip(pdf["id"], pdf["row"], pdf["url"], pdf["cleaned_text"]):
-                content, sk = skeletons(text, url)
-                if content:
-                    rows += [(i, row, True, s, False) for s in {s for _, s in sk}]
+            rows, bare, said = [], [], {}
+            for i, row, url, name, text in zip(pdf["id"], pdf["row"], pdf["url"], pdf["name"], pdf["cleaned_text"]):
+                told, sk = skeletons(text, url, name)
+                for t in set(told):
+                    n, alone = said.get(t, (0, 0))
+                    said[t] = (n + 1, alone + (len(told) == 1))
+                if len(told) > 1:
+                    rows += [(i, row, None, s, False, t, v, 1, 0) for s, t, v in {s: (s, t, v) for _, s, t, v in sk}.values()]
                 else:
-                    bare.append((i, row, dict(sk), boilerplate.read_page(text, url)))
-            for (i, row, sk, (nos, *_)), probs in zip(bare, boilerplate.label(net, [b[3][1:3] for b in bare])):
+                    bare.append((i, row, sk, boilerplate.read_page(text, url, name), told[0] if told else ""))
+            for (i, row, sk, (nos, *_), told), probs in zip(bare, boilerplate.label(net, [b[3][1:3] for b in bare])):
                 furniture = dict(zip(nos, probs >= 0.5))
-                by: dict[str, bool] = {}
-                for no, s in sk.items():
-                    by[s] = by.get(s, True) and bool(furniture.get(no, False))
-                rows += [(i, row, False, s, f) for s, f in by.items()]
-            yield pd.DataFrame(rows, columns=["id", "row", "content", "skeleton", "furniture"])
+                by: dict[str, tuple] = {}
+                for no, s, t, v in sk:
+                    by[s] = (by.get(s, (True,))[0] and bool(furniture.get(no, False)), t, v)
+                rows += [(i, row, told, s, f, t, v, 1, 0) for s, (f, t, v) in by.items()]
+            rows += [(None, None, t, None, None, None, None, n, alone) for t, (n, alone) in said.items()]
+            yield pd.DataFrame(rows, columns=["id", "row", "told", "skeleton", "furniture", "template", "slots", "n", "alone"])
 
     kind = pages.schema["id"].dataType.simpleString()
-    texts = pages.filter("cleaned_text IS NOT NULL").select("id", F.monotonically_increasing_id().alias("row"), "url", "cleaned_text")
-    lines = texts.mapInPandas(read, f"id {kind}, row bigint, content boolean, skeleton string, furniture boolean")
-    lines = cut(lines.select("id", "row", "content", "skeleton", "furniture", F.xxhash64("skeleton").alias("h")))
+    texts = boilerplate._named(pages).filter("cleaned_text IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    out = texts.mapInPandas(read, f"id {kind}, row bigint, told string, skeleton string, furniture boolean, template string, slots array<string>, n bigint, alone bigint")
+    out = cut(out.withColumns({"h": F.xxhash64("skeleton"), "t": F.xxhash64("template")}))
+    empty = out.filter("row IS NULL").groupBy("told").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone")).filter((F.col("n") >= ENOUGH) & (F.col("alone") >= ALONE * F.col("n")))
+    lines = out.filter("row IS NOT NULL").join(empty.select("told", F.lit(True).alias("empty")), "told", "left")
+    # told: null where several sentences name the speaker, empty where none does
+    lines = lines.withColumn("content", F.col("told").isNull() | ((F.col("told") != "") & F.col("empty").isNull())).select("id", "row", "content", "furniture", "h", "skeleton", "t", "slots")
+    lines = cut(lines)
     base = lines.select("content", "row").distinct().groupBy().agg(F.sum(F.when(F.col("content"), 1).otherwise(0)).alias("c"), F.sum(F.when(F.col("content"), 0).otherwise(1)).alias("s")).first()
     odds = ((base.s or 0) + 1.0) / ((base.c or 0) + 1.0)
     ratio = lambda s, c: F.log((s + 0.3) / (c + 0.3) / F.lit(odds))
-    stats = lines.groupBy("h").agg(F.sum(F.when(F.col("content"), 0).otherwise(1)).alias("s"), F.sum(F.when(F.col("content"), 1).otherwise(0)).alias("c"), F.first("skeleton").alias("skeleton")).filter("s > 0 OR c > 0")
-    stats = cut(stats)
-    words = stats.select(F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace("skeleton", r"[^\p{L}\u0003]+", " ")), " "))).alias("word"), "s", "c").groupBy("word").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    words = words.select("word", (F.col("s") + F.col("c")).alias("uses"), F.greatest(F.lit(-4.0), F.least(F.lit(4.0), ratio(F.col("s"), F.col("c")))).alias("lift"))
-    rare = stats.filter((F.col("s") > 0) & (F.col("s") + F.col("c") < ENOUGH)).select("h", ratio(F.col("s"), F.col("c")).alias("own"), F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace("skeleton", r"[^\p{L}\u0003]+", " ")), " "))).alias("word"))
-    # the telling words of a rare skeleton, of those that are used elsewhere too; without any it stands for itself
-    top = F.slice(F.sort_array(F.collect_list(F.when(F.col("uses") >= WORD_USES, F.col("lift"))), asc=False), 1, 3)
+    own = ratio(F.col("s"), F.col("c"))
+    clip = lambda x: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), x))
+    stats = lines.groupBy("h").agg(F.sum(F.when(F.col("content"), 0).otherwise(1)).alias("s"), F.sum(F.when(F.col("content"), 1).otherwise(0)).alias("c"), F.first("skeleton").alias("skeleton"), F.first("t").alias("t"), F.first("slots").alias("slots"))
+    stats = cut(stats.withColumn("rare", F.col("s") + F.col("c") < ENOUGH))
+    # Columns of aligned lines: those with several values are slots
+    columns = stats.select("h", "s", "c", "t", "rare", F.posexplode("slots").alias("pos", "value"))
+    values = columns.groupBy("t", "pos", "value").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    slots = values.groupBy("t", "pos").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds >= 2").select("t", "pos")
+    here = values.filter((F.col("s") > 0) & (F.col("s") + F.col("c") >= ENOUGH)).select("t", "pos", "value", clip(own).alias("here"))
+    anywhere = values.groupBy("value").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).filter((F.col("s") > 0) & (F.col("s") + F.col("c") >= WORD_USES)).select("value", clip(own).alias("anywhere"))
+    kept = columns.filter("rare AND s > 0").select("h", "t", "pos", "value").join(slots, ["t", "pos"], "left_semi").join(here, ["t", "pos", "value"], "left").join(anywhere, "value", "left")
+    by_slots = kept.groupBy("h").agg(F.max(F.coalesce("here", "anywhere")).alias("slot_lift"))
+    # The telling words of a rare skeleton, of those that are used elsewhere too; without any it stands for itself
+    split = F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace("skeleton", r"[^\p{L}\u0003]+", " ")), " "))).alias("word")
+    words = stats.select(split, "s", "c").groupBy("word").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    words = words.select("word", (F.col("s") + F.col("c")).alias("uses"), clip(own).alias("lift"))
+    rare = stats.filter("rare AND s > 0").select("h", own.alias("own"), split)
+    top = F.slice(F.sort_array(F.collect_list(F.when(F.col("uses") >= WORD_USES, F.col("lift"))), asc=False), 1, 3)  # at most the words of a line
     by_words = rare.join(words, "word", "left").groupBy("h").agg(top.alias("top"), F.first("own").alias("own"))
     by_words = by_words.select("h", F.when(F.size("top") > 0, F.aggregate("top", F.lit(0.0), lambda a, b: a + b) / F.size("top")).otherwise(F.col("own")).alias("lift"))
-    known = stats.filter((F.col("s") > 0) & (F.col("s") + F.col("c") >= ENOUGH)).select("h", ratio(F.col("s"), F.col("c")).alias("lift"))
-    lift = known.unionByName(by_words)
-    lift = stats.filter("s > 0").select("h", "s", ratio(F.col("s"), F.col("c")).alias("own")).join(lift, "h")
+    by_words = by_words.join(by_slots, "h", "left").select("h", F.greatest("lift", "slot_lift").alias("lift"))
+    known = stats.filter("NOT rare AND s > 0").select("h", own.alias("lift"))
+    lift = stats.filter("s > 0").select("h", "s", own.alias("own")).join(known.unionByName(by_words), "h")
     judged = lines.filter("NOT content").select("id", "row", "h", "furniture").join(lift, "h", "left")
     residue = F.greatest(F.col("lift"), F.when(F.col("s") >= 2, F.col("own"))) >= RESIDUE
     against = ~F.col("furniture") & (F.coalesce("lift", F.lit(0.0)) < CONTENT)

@@ -337,3 +337,48 @@ def test_turns_give_the_same(spark, monkeypatch):
     one = sorted((r.doc_id, r.restored) for r in encoding.restore(df).collect())
     monkeypatch.setattr(encoding, "MAX_ROWS", 200)
     assert one == sorted((r.doc_id, r.restored) for r in encoding.restore(df).collect()) and len(one) == 5
+
+
+def test_residue_without_addresses(spark, pages):
+    """The speaker's record tells the name where the address doesn't; a default, a blank and a sentence of a template are residue."""
+    named = pages.withColumns({"url": F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.format_string("https://www.town-wire.example/person/%d", "id")), "name": F.lit("Quillberg, Ann")})
+    extra = [page(4000 + i, body) for i, body in enumerate(["Born in Firstname Lastname; member for {{office}}."] * 3 + ["The biography of Ann Quillberg is in preparation."] * 6)]
+    extra = spark.createDataFrame([(i, None, t) for i, _, t in extra], "id bigint, url string, cleaned_text string").withColumn("name", F.lit("Dr Ann Quillberg"))
+    got = {r.id for r in residue.residue_pages(named.select("id", "url", "cleaned_text", "name").unionByName(extra)).collect()}
+    assert got == set(range(1000, 1024)) | set(range(4000, 4009))
+
+
+def test_template_slots():
+    p = Page(None, "Quillberg, Ann")
+    assert residue.template("Born in Havelby, 1950; member for Norwick.", p) == ("born in ^ member for ^", ["havelby 0", "norwick"])
+    assert residue.template("Born in {{place}}, {{year}}; member for .", p) == ("born in ^ member for ^", ["\x03 \x03", ""])
+    assert residue.template("", p) == ("", [])
+
+
+LANG = {  # name sentences, headings, insertions, menu, footer of made-up languages: no seed knows a word of them
+    "a": (["Ann Quillberg vorka tel dom i harbo.", "Quillberg sedda pa benko fra 1980 til 1990.", "Per ar 1988 Quillberg kalla budgeto en skam."], ["Livo", "Arbeto"], "Reklamo sekvas", ["Hejmo", "Pri ni", "Serci"], ["Reen supren", "Kondicoj kaj reguloj"]),
+    "b": (["Ann Quillberg nokim ta lesh u varo.", "Quillberg pashim ke konsil ta 1970.", "Ta 1991 Quillberg morim ta elektim dur."], ["Vitum", "Labrum"], "Video levim", ["Domum", "Noim", "Querim"], ["Supra retro", "Regulim ta sitom"]),
+}
+
+
+def test_labeller_needs_no_seed_of_a_language(spark):
+    """Held out: pages of hosts that the labeller hasn't seen, in languages of which no seed phrase knows a word."""
+    r, rows, want = random.Random(4), [], {}
+    for i in range(500):
+        told, heads, ad, menu, foot = LANG["ab"[i % 2]]
+        body = ["Ann Quillberg"]
+        for k in range(r.randint(2, 4)):
+            body += [r.choice(heads)] if r.random() < 0.5 else []
+            body += [" ".join(r.sample(told, 2))]
+            body += [ad] if k < 1 and r.random() < 0.6 else []
+        if r.random() < 0.3:
+            body = body[1:]
+        lines = r.sample(menu, 3) + body + r.sample(foot, 2)
+        rows.append((i, f"https://host{i % 25}.example/p/{i}", "Quillberg, Ann", "\n".join(lines)))
+        want[i] = {k + 1 for k, x in enumerate(lines) if x in menu or x in foot or x == ad}
+    df = spark.createDataFrame(rows, "id bigint, url string, name string, cleaned_text string")
+    net = boilerplate.train(df.filter("id % 25 >= 5"))
+    got = boilerplate.furniture_lines(df.filter("id % 25 < 5"), net).filter("furniture").collect()
+    found = {(x.id, x.line_no) for x in got}
+    true = {(i, k) for i, ks in want.items() if i % 25 < 5 for k in ks}
+    assert len(found & true) >= 0.9 * len(true) and len(found & true) >= 0.9 * len(found)
