@@ -180,10 +180,10 @@ def parse_person(name: str) -> dict | None:
             lead = False
             if word in TITLES and len(word) >= 2 and (longs or comma):  # MP and the like after the name
                 continue
-            if raw.endswith(".") and 2 <= len(word) <= 5 and raw != part.split()[-1]:
+            if raw.endswith(".") and len(word) >= 2 and raw != part.split()[-1]:
                 abbr.append(word)
                 continue
-            if raw.endswith(".") and 3 <= len(word) <= 4 and comma and pi == 1:
+            if raw.endswith(".") and len(word) >= 3 and comma and pi == 1:
                 abbr.append(word)
                 continue
             for h in hyph:
@@ -206,4 +206,4 @@ def parse_person(name: str) -> dict | None:
         fam, giv = [w for w, _, c in longs if c], [w for w, _, c in longs if not c]
     elif len(words) == 1 and (titled or inits or abbr) or len({w for w in s.replace(",", " ").split() if "-" in w}) == 1 and len(words) == max(len(w.split("-")) for w in s.replace(",", " ").split()):
         fam = words
-    return {"long": words, "inits": [c for c, _ in inits], "abbr": abbr, "alias": alias, "fam": fam, "giv": giv, "lead_init": bool(inits) and not comma and bool(re.match(r"^(?:\S+\s+)*?[^\W\d_]\.\s", s)), "titled": titled}
+    return {"long": words, "inits": [c for c, _ in inits], "abbr": abbr, "alias": alias, "fam": fam, "giv": giv, "lead_init": bool(inits) and not comma and bool(re.match(r"^[^\W\d_]\.\s", s)), "titled": titled}

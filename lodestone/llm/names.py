@@ -4,11 +4,11 @@ Every distinct (country, string) is read once. Words are told to be given or fam
 Records that carry a family and a given name begin as one profile per (country, family, given); then rounds follow:
 
 1. *Merge*: profiles that share a block and agree are merged. Blocks are (country, family, key of the given name) and (country,
-   given, key of the family name), where keys are the single-deletion forms of a word (any two words within one edit or swap share one)
-   and its nicknames; within a block all profiles are compared with its best supported one only, so a block of n costs n.
-2. *Rematch*: merged profiles union their spellings and initials. Records with an initial or the family name only look for the
-   profiles of that family whose given names begin so; they join if there is exactly one. Family names no profile has are
-   looked up by deletion key.
+   given, key of the family name). Keys are such that the rows of a block agree with each other, or all with the one whose word is the key: a word
+   with one letter masked, a word with one letter cut, its nicknames, the longer names it begins. So one comparison for each row finds every link.
+2. *Rematch*: merged profiles union their spellings and initials. Records with initials or the family name only look for the
+   profiles of that family whose given names begin so; they join if there is exactly one, and bring it their spellings of the family name. Family names
+   no profile has are looked up by deletion key. Then the richer profiles are merged again.
 
 Both are repeated until no record changes its profile. Party names do the same with word sets, pairs of words and acronyms as keys.
 No step compares all members of a group, and nothing but (country, letter) counts is assumed small.
@@ -28,6 +28,8 @@ from . import name_parse as np_
 
 RECORD = """country string, name string, rid bigint, n bigint, kind string, long array<string>, inits array<string>, abbr array<string>, alias array<string>,
  fam array<string>, giv array<string>, lead_init boolean, toks array<string>, acr string, squash string, plain string"""
+#: Share of the names a letter leads that give the whole name too, from which it is an address in a country ("M. Jean Morel") and no initial.
+POLITE = 0.05
 #: Family names shorter than this are only linked when spelled alike.
 FUZZY_LEN = 5
 
@@ -60,6 +62,17 @@ def _dels(w: Column) -> Column:
     return F.when(n >= 4, F.array_distinct(F.concat(F.array(w, _look(w)), cuts)))
 
 
+def _typed(w: Column) -> Column:
+    """Keys of which two words within one edit, a swap or a scanning confusion share one: a letter masked (``*``), cut or none (``-``), the letters sorted (``~``),
+    the form without confusions (``=``). Under ``*`` and ``=`` all words agree with each other, under ``-`` with the one that is the key."""
+    n = F.length(w)
+    at = F.sequence(F.lit(1), n)
+    cut_ = F.transform(at, lambda i: F.concat(F.lit("-"), F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    mask = F.transform(at, lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.lit("*"), F.substr(w, i + 1)))
+    sorted_ = F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(w, "")), ""))
+    return F.when(n >= 4, F.array_distinct(F.concat(F.array(F.concat(F.lit("-"), w), F.concat(F.lit("="), _look(w)), sorted_), mask, cut_)))
+
+
 def _near(a: Column, b: Column) -> Column:
     """Within one edit, a swap of neighbours, or letters that scanning mixes up."""
     lev = F.levenshtein(a, b)
@@ -97,8 +110,10 @@ def _roles(words: pd.Series, long: pd.Series, fam: pd.Series, giv: pd.Series, in
                     first = top if stat[top]["deg"] >= 4 and not voted else ls[0]
                     g, f = [first], [w for w in ls if w != first]
         f = f or ls[-1:]
-        out.append((f[0], f[1] if len(f) > 1 else None, g[0] if g else None, bool(g) and given_like(g[0]), ab[0] if ab and not g else ini[0] if ini and not g else ""))
-    return pd.DataFrame(out, columns=["fam1", "fam2", "given", "known", "prefix"])
+        first = ab[0] if ab and not g else ini[0] if ini and not g else ""
+        more = [w[0] for w in g[1:]] + ini if g else ini if ab else ini[1:]
+        out.append((f[0], f[1] if len(f) > 1 else None, g[0] if g else None, bool(g) and given_like(g[0]), first, more[0] if more else ""))
+    return pd.DataFrame(out, columns=["fam1", "fam2", "given", "known", "prefix", "second"])
 
 
 def _jump(par: DataFrame) -> DataFrame:
@@ -112,11 +127,14 @@ def _jump(par: DataFrame) -> DataFrame:
         par = nxt.select("pid", "hub")
 
 
-def _star(s: DataFrame, keys: list[str], same: Column) -> DataFrame:
-    """Edges ``pid, hub, hub_n`` of the rows of ``s`` to the best supported row of their block, where ``same`` (over ``w, hub_*``) holds."""
-    blocks = s.groupBy(*keys).agg(F.max(F.struct("total", "pid", "fam1", "given", "known")).alias("h"), F.min("pid").alias("lo"), F.max("pid").alias("hi")).filter("lo <> hi")
+def _star(s: DataFrame, keys: list[str], word: str, same: Column) -> DataFrame:
+    """Edges ``pid, hub, hub_n`` of the rows of ``s`` to the row of their block whose ``word`` is the key, else to the best supported one, where ``same`` (over ``w, h.*``) holds."""
+    exact = F.col("key") == F.concat(F.lit("-"), F.col(word))
+    blocks = s.groupBy(*keys).agg(F.max(F.struct(exact.alias("exact"), "total", "pid", "fam1", "given", "known")).alias("h"), F.min("pid").alias("lo"), F.max("pid").alias("hi")).filter("lo <> hi")
     j = s.join(blocks, keys).filter(F.col("pid") != F.col("h.pid"))
-    return j.filter(same).select("pid", F.col("h.pid").alias("hub"), F.col("h.total").alias("hub_n"))
+    # a merge goes to the better supported profile, so that chains end
+    up = F.struct("h.total", "h.pid") > F.struct("total", "pid")
+    return j.filter(same).select(F.when(up, F.col("pid")).otherwise(F.col("h.pid")).alias("pid"), F.when(up, F.col("h.pid")).otherwise(F.col("pid")).alias("hub"), F.when(up, F.col("h.total")).otherwise(F.col("total")).alias("hub_n"))
 
 
 def _relabel(strong: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
@@ -133,34 +151,45 @@ def _spellings(rec: DataFrame) -> DataFrame:
 
 
 def _merge_strong(strong: DataFrame) -> DataFrame:
+    """``strong`` with the profiles relabelled until no two of a block agree."""
     while True:
         s = cut(_spellings(strong))
-        by_given = s.withColumn("key", F.explode(F.array_union(F.coalesce(_dels(F.col("given")), F.array("given")), F.concat(F.array(F.concat(F.lit("="), "given")), F.transform("mates", lambda m: F.concat(F.lit("="), m))))))
+        nicks = F.concat(F.array(F.concat(F.lit("@"), "given")), F.transform("mates", lambda m: F.concat(F.lit("@"), m)))
+        by_given = s.withColumn("key", F.explode(F.concat(F.coalesce(_typed(F.col("given")), F.array().cast("array<string>")), nicks)))
         nick = F.array_contains("mates", F.col("h.given")) | (F.col("given") == F.col("h.given"))
         typo = _near(F.col("given"), F.col("h.given")) & (F.length("given") >= 4) & ~(F.col("known") & F.col("h.known"))
-        short = (F.length("given") >= 3) & F.startswith(F.col("h.given"), F.col("given")) & ~F.col("known")
-        e1 = _star(by_given, ["country", "fam1", "key"], nick | typo | short)
-        by_fam = s.withColumn("key", F.explode(_dels(F.col("fam1"))))
-        e2 = _star(by_fam, ["country", "given", "key"], (F.length("fam1") >= FUZZY_LEN) & _near(F.col("fam1"), F.col("h.fam1")))
-        strong, moved = _relabel(strong, e1.unionByName(e2))
+        e1 = _star(by_given, ["country", "fam1", "key"], "given", nick | typo)
+        by_fam = s.filter(F.length("fam1") >= FUZZY_LEN - 1).withColumn("key", F.explode(_typed(F.col("fam1"))))
+        e2 = _star(by_fam, ["country", "given", "key"], "fam1", (F.length("fam1") >= FUZZY_LEN) & _near(F.col("fam1"), F.col("h.fam1")))
+        # a shortened given name joins the profile of that family whose given name it begins, if there is one only
+        begins = s.filter(F.length("given") > 3).select("country", "fam1", F.explode(F.transform(F.sequence(F.lit(3), F.length("given") - 1), lambda k: F.substr("given", F.lit(1), k))).alias("given"), F.col("pid").alias("to"), F.col("total").alias("to_n"))
+        begins = begins.groupBy("country", "fam1", "given").agg(F.min("to").alias("to"), F.max("to").alias("to2"), F.max("to_n").alias("to_n")).filter("to = to2")
+        e3 = s.filter("NOT known AND length(given) >= 3").join(begins, ["country", "fam1", "given"]).filter("pid <> to")
+        up = F.struct("to_n", "to") > F.struct("total", "pid")
+        e3 = e3.select(F.when(up, F.col("pid")).otherwise(F.col("to")).alias("pid"), F.when(up, F.col("to")).otherwise(F.col("pid")).alias("hub"), F.when(up, F.col("to_n")).otherwise(F.col("total")).alias("hub_n"))
+        strong, moved = _relabel(strong, e1.unionByName(e2).unionByName(e3))
         if not moved:
             return strong
 
 
 def _lookup(todo: DataFrame, strong: DataFrame) -> DataFrame:
     """``rid, pid, found`` of the records without given name: found profiles by family and beginning of the given name, first as spelled, else by deletion key."""
-    s = strong.filter("fam1 IS NOT NULL").select("country", "fam1", "fam2", "given", "pid").distinct()
+    s = strong.filter("fam1 IS NOT NULL").select("country", "fam1", "fam2", "given", "second", "pid").distinct()
     fams = F.array_compact(F.array("fam1", F.when(F.col("fam2").isNotNull(), F.concat_ws(" ", "fam1", "fam2"))))
-    pre = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("given"), F.lit(5))), lambda k: F.substr("given", F.lit(1), k)))
-    table = s.select("country", F.explode(fams).alias("fkey"), "given", "pid").select("country", "fkey", pre.alias("prefix"), "pid")
+    begins = F.transform(F.sequence(F.lit(0), F.length("given")), lambda k: F.substr("given", F.lit(1), k))
+    two_letters = F.when(F.col("second") != "", F.array(F.concat(F.substr("given", F.lit(1), F.lit(1)), F.lit(" "), "second"))).otherwise(F.array().cast("array<string>"))
+    table = s.select("country", F.explode(fams).alias("fkey"), "given", "second", "pid").select("country", "fkey", F.explode(F.concat(begins, two_letters)).alias("prefix"), "pid")
     table = cut(table.groupBy("country", "fkey", "prefix").agg(F.count_distinct("pid").alias("np"), F.min("pid").alias("pid")))
     t = todo.withColumn("fkey2", F.when(F.col("fam2").isNotNull(), F.concat_ws(" ", "fam1", "fam2")))
     two = table.select("country", F.col("fkey").alias("fkey2"), "prefix", F.col("np").alias("np2"), F.col("pid").alias("pid2"))
     one = table.select("country", F.col("fkey").alias("fam1"), "prefix", F.col("np").alias("np1"), F.col("pid").alias("pid1"))
+    both = table.filter("np = 1 AND prefix LIKE '% %'").select("country", F.col("fkey").alias("fam1"), F.col("prefix").alias("letters"), F.col("pid").alias("pid0"))
     any_ = table.filter("prefix = ''").select("country", F.col("fkey").alias("fam1"), F.lit(True).alias("has"))
-    t = t.join(two, ["country", "fkey2", "prefix"], "left").join(one, ["country", "fam1", "prefix"], "left").join(any_, ["country", "fam1"], "left")
+    t = t.withColumn("letters", F.when((F.col("prefix") != "") & (F.col("second") != ""), F.concat(F.substr("prefix", F.lit(1), F.lit(1)), F.lit(" "), "second")))
+    t = t.join(two, ["country", "fkey2", "prefix"], "left").join(one, ["country", "fam1", "prefix"], "left").join(both, ["country", "fam1", "letters"], "left").join(any_, ["country", "fam1"], "left")
     np = F.coalesce(F.when(F.col("np2") == 1, 1), "np1", F.lit(0))
-    t = cut(t.select("rid", "country", "fam1", "prefix", np.alias("np"), F.when(np == 1, F.when(F.col("np2") == 1, F.col("pid2")).otherwise(F.col("pid1"))).alias("pid"), F.coalesce("has", F.lit(False)).alias("has")))
+    pid = F.coalesce(F.when(np == 1, F.when(F.col("np2") == 1, F.col("pid2")).otherwise(F.col("pid1"))), "pid0")  # all initials where one isn't enough
+    t = cut(t.select("rid", "country", "fam1", "prefix", np.alias("np"), pid.alias("pid"), F.coalesce("has", F.lit(False)).alias("has")))
     # Family names that no profile has: by deletion key
     lost = t.filter(~F.col("has") & (F.length("fam1") >= FUZZY_LEN)).select("rid", "country", F.col("fam1").alias("typed"), "prefix").withColumn("key", F.explode(_dels(F.col("typed"))))
     near = s.filter(F.length("fam1") >= FUZZY_LEN).select("country", "fam1", F.substr("given", F.lit(1), F.lit(1)).alias("g1"), "pid").distinct().withColumn("key", F.explode(_dels(F.col("fam1"))))
@@ -177,7 +206,7 @@ def _persons(rec: DataFrame) -> DataFrame:
     deg = tok.select("w", F.explode("long").alias("v")).filter("w <> v").groupBy("w").agg(F.count_distinct("v").alias("deg"))
     lex = votes.join(deg, "w", "left").select("w", "fv", "gv", F.coalesce("deg", F.lit(0)).alias("deg"))
     words = tok.select("rid", "w").join(lex, "w").groupBy("rid").agg(F.collect_set(F.struct("w", "fv", "gv", "deg")).alias("words"))
-    role = F.pandas_udf(_roles, "fam1 string, fam2 string, given string, known boolean, prefix string")
+    role = F.pandas_udf(_roles, "fam1 string, fam2 string, given string, known boolean, prefix string, second string")
     rec = rec.join(words, "rid").withColumn("r", role("words", "long", "fam", "giv", "inits", "abbr", "lead_init"))
     rec = cut(rec.select("rid", "country", "n", "r.*", "alias", F.element_at(F.array_union("inits", F.array(F.lit(""))), 1).alias("i0"), "lead_init"))
     # Two words without a known given name that are elsewhere the two family names after one
@@ -185,34 +214,35 @@ def _persons(rec: DataFrame) -> DataFrame:
     rec = rec.join(double, ["country", "given", "fam1"], "left").withColumn("double", F.coalesce(F.col("double") & ~F.col("known") & F.col("fam2").isNull(), F.lit(False)))
     rec = rec.withColumns({"fam2": F.when(F.col("double"), F.col("fam1")).otherwise(F.col("fam2")), "fam1": F.when(F.col("double"), F.col("given")).otherwise(F.col("fam1")), "given": F.when(~F.col("double"), F.col("given"))}).drop("double")
     # A letter that stands before full names in a country is an address, not an initial
-    polite = rec.filter("lead_init AND given IS NOT NULL AND known").groupBy("country", F.col("i0").alias("prefix")).agg(F.count(F.lit(1)).alias("uses")).filter("uses >= 5")
-    rec = rec.join(polite, ["country", "prefix"], "left").withColumn("prefix", F.when(F.col("uses").isNotNull(), F.lit("")).otherwise(F.col("prefix"))).drop("uses", "i0", "lead_init")
+    leads = rec.filter("lead_init").groupBy("country", F.col("i0").alias("prefix")).agg(F.sum(F.col("given").isNotNull().cast("int")).alias("whole"), F.count(F.lit(1)).alias("uses"))
+    polite = leads.filter(F.col("whole") - 1 >= POLITE * (F.col("uses") + 3)).select("country", "prefix", F.lit(True).alias("polite"))
+    rec = rec.join(polite, ["country", "prefix"], "left").withColumn("prefix", F.when(F.col("polite") & F.col("lead_init"), F.lit("")).otherwise(F.col("prefix"))).drop("polite", "i0", "lead_init")
     static = F.create_map(*[x for k, v in sorted(np_.nickname_pairs().items()) for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))])
     learned = rec.filter("given IS NOT NULL").select("given", F.explode("alias").alias("mate")).filter("given <> mate").distinct()
     learned = learned.unionByName(learned.select(F.col("mate").alias("given"), F.col("given").alias("mate"))).groupBy("given").agg(F.collect_set("mate").alias("learned"))
     none = F.array().cast("array<string>")
     rec = rec.join(learned, "given", "left").withColumn("mates", F.array_distinct(F.concat(F.coalesce("learned", none), F.coalesce(F.try_element_at(static, F.col("given")), none)))).drop("learned", "alias")
     rec = cut(rec)
-    strong = cut(rec.filter("given IS NOT NULL").withColumn("pid", F.xxhash64("country", F.lit("s"), "fam1", "given")))
+    strong = cut(rec.filter("given IS NOT NULL").withColumns({"pid": F.xxhash64("country", F.lit("s"), "fam1", "given"), "own": F.lit(True)}))
     weak = rec.filter("given IS NULL")
-    strong = _merge_strong(strong)
-    joined = -1
+    state, more = None, None
     while True:
-        got = cut(_lookup(weak, strong))
+        both = strong if more is None else strong.unionByName(more, allowMissingColumns=True)
+        both = _merge_strong(both)
+        strong = cut(both.filter("own"))
+        got = cut(_lookup(weak, both))
         # Initials that fit no profile found one of their own, family names alone likewise; an ambiguous record stays alone
         rest = weak.join(got, "rid").withColumn("pid", F.when(F.col("pid").isNotNull(), F.col("pid")).when(~F.col("has") | ((F.col("prefix") != "") & (F.col("np") == 0)), F.xxhash64("country", F.lit("w"), "fam1", "prefix")))
         rest = cut(rest.drop("np", "has"))
-        n = rest.filter("pid IS NOT NULL").count()
-        if n == joined:
+        now = strong.select("rid", "pid").unionByName(rest.select("rid", "pid")).agg(F.sum(F.xxhash64("rid", "pid").cast("decimal(38, 0)"))).first()[0]
+        if now == state:
             break
-        joined = n
-        # The profiles take over the spellings of the records that joined, with their own given names
-        given = strong.groupBy("pid").agg(F.max_by("given", "n").alias("g"))
-        more = rest.filter("pid IS NOT NULL").join(given, "pid", "left").withColumns({"given": F.coalesce("g", F.when(F.col("prefix") != "", F.col("prefix"))), "known": F.lit(False)}).filter("given IS NOT NULL").drop("g")
-        base = strong.filter("mates IS NOT NULL") if "own" not in strong.columns else strong.filter("own")
-        strong = cut(base.withColumn("own", F.lit(True)).unionByName(more.withColumn("own", F.lit(False)), allowMissingColumns=True))
-    own = strong.filter("own") if "own" in strong.columns else strong
-    return own.select("rid", "pid").unionByName(rest.select("rid", F.coalesce("pid", "rid").alias("pid")))
+        state = now
+        # The profiles take over the spellings of the records that joined, with their own given names, and are merged again
+        given = strong.groupBy("pid").agg(F.max_by("given", F.struct("n", "given")).alias("g"))
+        more = rest.filter("pid IS NOT NULL").join(given, "pid", "left").withColumns({"given": F.coalesce("g", F.when(F.col("prefix") != "", F.col("prefix"))), "known": F.col("g").isNotNull(), "own": F.lit(False)}).filter("given IS NOT NULL").drop("g")
+        more = cut(more)
+    return strong.select("rid", "pid").unionByName(rest.select("rid", F.coalesce("pid", "rid").alias("pid")))
 
 
 def _parties(rec: DataFrame) -> DataFrame:
@@ -220,24 +250,26 @@ def _parties(rec: DataFrame) -> DataFrame:
     rec = cut(rec.select("rid", "country", "n", "toks", "acr", "squash", "plain"))
     full = rec.filter(F.size("toks") >= 3).withColumns({"pid": F.xxhash64("country", F.lit("g"), "squash"), "fam1": F.col("plain"), "given": F.lit(""), "known": F.lit(True), "mates": F.array().cast("array<string>")})
     full = cut(full)
-    while True:  # spellings within one edit of the best supported one
-        s = cut(_spellings(full))
-        e = _star(s.withColumn("key", F.explode(_dels(F.col("fam1")))), ["country", "key"], _near(F.col("fam1"), F.col("h.fam1")))
-        full, moved = _relabel(full, e)
-        if not moved:
-            break
-    totals = full.groupBy("pid").agg(F.sum("n").alias("total"))
-    full = cut(full.join(totals, "pid"))
     pairs = F.transform(F.filter(F.flatten(F.transform("toks", lambda a: F.transform("toks", lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p.a < p.b), lambda p: F.concat_ws(" ", p.a, p.b))
     keyed = lambda d: d.withColumn("key", F.explode(F.concat(pairs, F.transform("toks", lambda t: F.concat(F.lit("1 "), t)))))
-    # Names that share two words join the best supported one of them if their other words agree or are missing
-    pairs = F.transform(F.filter(F.flatten(F.transform("toks", lambda a: F.transform("toks", lambda b: F.struct(a.alias("a"), b.alias("b"))))), lambda p: p.a < p.b), lambda p: F.concat_ws(" ", p.a, p.b))
-    keyed = lambda d: d.withColumn("key", F.explode(F.concat(pairs, F.transform("toks", lambda t: F.concat(F.lit("1 "), t)))))
-    best = cut(keyed(full).filter("key NOT LIKE '1 %'").groupBy("country", "key").agg(F.max_by(F.struct("pid", "total", "toks"), F.struct("total", "pid")).alias("h")))
     own, hub = F.array_join(F.array_sort(F.array_except("toks", "h.toks")), ""), F.array_join(F.array_sort(F.array_except("h.toks", "toks")), "")
     agree = (hub == "") | _near(own, hub) | ((F.length(own) >= 3) & F.startswith(hub, own))
-    e = keyed(full).filter("key NOT LIKE '1 %'").join(best, ["country", "key"]).filter((F.col("pid") != F.col("h.pid")) & (F.col("total") < F.col("h.total")) & agree)
-    full, _ = _relabel(full.drop("hub_n"), e.select("pid", F.col("h.pid").alias("hub"), F.col("h.total").alias("hub_n")))
+    moved = True
+    while moved:
+        # spellings within one edit; then names that share two words and whose other words agree or are missing. Those that don't agree with the best
+        # supported one of their pair are held against the best of what is left, until nothing is
+        s = cut(_spellings(full))
+        e = _star(s.withColumn("key", F.explode(_typed(F.col("fam1")))), ["country", "key"], "fam1", _near(F.col("fam1"), F.col("h.fam1")))
+        totals = full.groupBy("pid").agg(F.sum("n").alias("total"))
+        left = cut(keyed(full.join(totals, "pid").select("country", "pid", "total", "toks").distinct()).filter("key NOT LIKE '1 %'"))
+        while True:
+            best = left.groupBy("country", "key").agg(F.max_by(F.struct("pid", "total", "toks"), F.struct("total", "pid")).alias("h"), F.min("pid").alias("lo"), F.max("pid").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+            met = cut(left.join(best, ["country", "key"]).filter(F.col("pid") != F.col("h.pid")).withColumn("agree", agree))
+            e = e.unionByName(met.filter("agree").select("pid", F.col("h.pid").alias("hub"), F.col("h.total").alias("hub_n")))
+            left = met.filter("NOT agree").drop("h", "agree")
+            if left.isEmpty():
+                break
+        full, moved = _relabel(full, e)
     # A word or pair of words names a party if one party holds nearly all of its uses in the country
     use = keyed(full).groupBy("country", "key", "pid").agg(F.sum("n").alias("u"))
     hub = cut(use.groupBy("country", "key").agg(F.max_by("pid", F.struct("u", "pid")).alias("hub"), F.max("u").alias("u"), F.sum("u").alias("all_u")).filter("u >= 0.9 * all_u").select("country", "key", "hub"))
@@ -269,8 +301,15 @@ def resolve(mentions: DataFrame) -> DataFrame:
     return rec.select("country", "name", "rid").join(ids, "rid").select("country", "name", F.col("pid").alias("entity"))
 
 
+#: Spellings of an entity that one task pairs with all others.
+PART = 1000
+
+
 def variant_pairs(resolved: DataFrame) -> DataFrame:
-    """``country, name_a, name_b``: the pairs of spellings of one entity, ``name_a < name_b`` in byte order."""
+    """``country, name_a, name_b``: the pairs of spellings of one entity, ``name_a < name_b`` in byte order. An entity of many spellings is split over tasks."""
     r = cut(resolved)
-    a, b = r.withColumnRenamed("name", "name_a"), r.withColumnRenamed("name", "name_b")
-    return a.join(b, ["country", "entity"]).filter("name_a < name_b").select("country", "name_a", "name_b")
+    parts = r.groupBy("country", "entity").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    r = r.join(parts, ["country", "entity"])
+    a = r.withColumnRenamed("name", "name_a").withColumn("part", F.pmod(F.xxhash64("name_a"), F.col("parts")).cast("int"))
+    b = r.withColumnRenamed("name", "name_b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return a.join(b.drop("parts"), ["country", "entity", "part"]).filter("name_a < name_b").select("country", "name_a", "name_b")

@@ -382,3 +382,49 @@ def test_labeller_needs_no_seed_of_a_language(spark):
     found = {(x.id, x.line_no) for x in got}
     true = {(i, k) for i, ks in want.items() if i % 25 < 5 for k in ks}
     assert len(found & true) >= 0.9 * len(true) and len(found & true) >= 0.9 * len(found)
+
+
+def test_long_abbreviations_link(spark):
+    p = ["Christopher Wallingford", "Wallingford, Christopher", "Chr. Wallingford", "Christo. Wallingford", "Christop. Wallingford", "Mr Wallingford"]
+    assert resolved(spark, p) == [set(p)]
+
+
+def test_links_beyond_the_hub(spark):
+    """Two spellings that are near each other but not to the best supported name of their block."""
+    data = [("GB", n, None) for n in ["Ann Hofmann"] * 50 + ["Hofmann, Ann"] * 20 + ["Ann Hoffman"] * 20 + ["Hoffman, Ann"] * 10 + ["Ann Hofwman"]]
+    out: dict = {}
+    for r in names.resolve(spark.createDataFrame(data, MENTIONS)).collect():
+        out.setdefault(r.entity, set()).add(r.name)
+    assert cluster_of(out.values(), "Ann Hofwman") == {"Ann Hofwman", "Ann Hoffman", "Hoffman, Ann"}
+
+
+def test_all_initials_decide(spark):
+    p = ["John Paul Smithers", "Smithers, John Paul", "James Robert Smithers", "Smithers, James Robert", "J. P. Smithers", "J. R. Smithers", "J. Smithers"]
+    g = resolved(spark, p)
+    assert cluster_of(g, "J. P. Smithers") == {"John Paul Smithers", "Smithers, John Paul", "J. P. Smithers"}
+    assert cluster_of(g, "J. R. Smithers") == {"James Robert Smithers", "Smithers, James Robert", "J. R. Smithers"} and cluster_of(g, "J. Smithers") == {"J. Smithers"}
+
+
+def test_merged_profiles_are_matched_again(spark):
+    """The typo of a family name comes in by a record without given name and makes a second profile's spelling its own."""
+    p = ["Edward Grambonley", "Grambonley, Edward", "Mr Gramboneley", "Mr E. Gramboneley", "Edward Gramboneley"]
+    assert resolved(spark, p) == [set(p)]
+
+
+def test_typed_keys_agree(spark):
+    """Two words share a key that stands for agreement exactly if they are near."""
+    r = random.Random(2)
+    ws = {"".join(r.choice("abe") for _ in range(r.randint(4, 6))) for _ in range(60)}
+    df = spark.createDataFrame([(w,) for w in sorted(ws)], "w string").select("w", names._typed(F.col("w")).alias("keys"))
+    keys = {x.w: set(x["keys"]) for x in df.collect()}
+    for a in ws:
+        for b in ws:
+            if a < b and near(a, b):
+                shared = keys[a] & keys[b]
+                assert any(k[0] not in "-" for k in shared) or {"-" + a, "-" + b} & shared
+
+
+def test_hot_entity_is_split(spark, monkeypatch):
+    monkeypatch.setattr(names, "PART", 7)
+    df = spark.createDataFrame([("GB", f"n{i:03d}", 1) for i in range(50)] + [("GB", "x", 2)], "country string, name string, entity bigint")
+    assert names.variant_pairs(df).distinct().count() == names.variant_pairs(df).count() == 50 * 49 // 2
