@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,8 +48,9 @@ def template(line: str, page: Page) -> tuple[str, list[str]]:
     """The fixed words of a line with ``^`` for each slot, and the slots' values; a mark that stands alone leaves a blank before it."""
     fixed: list[str] = []
     slots: list[str] = []
-    masked = page.mask(SLOT.sub("\x03", fold(line))).split()
-    raw = SLOT.sub("\x03", line).split()
+    may = _MAY.search(line.lower())
+    masked = page.mask(SLOT.sub("\x03", fold(line)) if may else fold(line)).split()
+    raw = (SLOT.sub("\x03", line) if may else line).split()
     raw = raw if len(raw) == len(masked) else masked
     for k, (w, m) in enumerate(zip(raw, masked)):
         m = m.strip(".,:;!?()")
@@ -65,9 +67,12 @@ def template(line: str, page: Page) -> tuple[str, list[str]]:
     return " ".join(fixed), slots
 
 
-def skeletons(text: str, url: str | None, name: str | None = None) -> tuple[list[str], list[tuple[int, str, str, list[str]]]]:
-    """(skeletons of the sentences that name the speaker; number, skeleton, template and slots of the lines that aren't a bare title)."""
-    page = Page(url, name)
+def _hash(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def skeletons(text: str, page: Page) -> tuple[list[str], list[tuple[int, str, str]]]:
+    """(skeletons of the sentences that name the speaker; number, skeleton and text of the lines that aren't a bare title)."""
     told, out = [], []
     for no, line in enumerate(text.split("\n"), 1):
         f = fold(line)
@@ -80,7 +85,7 @@ def skeletons(text: str, url: str | None, name: str | None = None) -> tuple[list
             told += [" ".join(frames(page.mask(x))) for x in _SENTENCES.split(line.strip()) if page.names_speaker(fold(x))] or [masked]
         if "\x02" in masked and "\x03" not in masked and page.is_title(line, f):
             continue  # the name, its years, the site: a bare title
-        out.append((no, _DIGITS.sub("0", _HEX.sub("0", masked)), *template(line, page)))
+        out.append((no, _DIGITS.sub("0", _HEX.sub("0", masked)), line))
     return told, out
 
 
@@ -98,40 +103,47 @@ def residue_pages(pages: DataFrame, net: boilerplate.BiLSTM | None = None) -> Da
         net = boilerplate.BiLSTM()
         net.p = box.value
         for pdf in batches:
-            rows, bare, said = [], [], {}
+            rows, bare, said, seen = [], [], {}, {}
             for i, row, url, name, text in zip(pdf["id"], pdf["row"], pdf["url"], pdf["name"], pdf["cleaned_text"]):
-                told, sk = skeletons(text, url, name)
+                page = Page(url, name)
+                told, sk = skeletons(text, page)
                 for t in set(told):
                     n, alone = said.get(t, (0, 0))
                     said[t] = (n + 1, alone + (len(told) == 1))
+                for _, s, line in sk:
+                    if s not in seen:
+                        seen[s] = (_hash(s), *template(line, page))
                 if len(told) > 1:
-                    rows += [(i, row, None, s, False, t, v, 1, 0) for s, t, v in {s: (s, t, v) for _, s, t, v in sk}.values()]
+                    rows += [(i, row, None, seen[s][0], False) for s in {s for _, s, _ in sk}]
                 else:
-                    bare.append((i, row, sk, boilerplate.read_page(text, url, name), told[0] if told else ""))
+                    bare.append((i, row, sk, boilerplate.read_page(text, url, name), _hash(told[0]) if told else 0))
             for (i, row, sk, (nos, *_), told), probs in zip(bare, boilerplate.label(net, [b[3][1:3] for b in bare])):
                 furniture = dict(zip(nos, probs >= 0.5))
-                by: dict[str, tuple] = {}
-                for no, s, t, v in sk:
-                    by[s] = (by.get(s, (True,))[0] and bool(furniture.get(no, False)), t, v)
-                rows += [(i, row, told, s, f, t, v, 1, 0) for s, (f, t, v) in by.items()]
-            rows += [(None, None, t, None, None, None, None, n, alone) for t, (n, alone) in said.items()]
-            yield pd.DataFrame(rows, columns=["id", "row", "told", "skeleton", "furniture", "template", "slots", "n", "alone"])
+                by: dict[str, bool] = {}
+                for no, s, _ in sk:
+                    by[s] = by.get(s, True) and bool(furniture.get(no, False))
+                rows += [(i, row, told, seen[s][0], f) for s, f in by.items()]
+            rows = [(*r, None, None, None, None, []) for r in rows]
+            rows += [(None, None, None, _hash(t), None, n, alone, None, None, []) for t, (n, alone) in said.items()]
+            rows += [(None, None, None, h, None, None, None, s, t, v) for s, (h, t, v) in seen.items()]
+            yield pd.DataFrame(dict(zip(columns, map(lambda c: pd.Series(list(c), dtype=object), zip(*rows))))) if rows else pd.DataFrame(columns=columns)
 
+    columns = ["id", "row", "told", "h", "furniture", "n", "alone", "skeleton", "template", "slots"]
     kind = pages.schema["id"].dataType.simpleString()
     texts = boilerplate._named(pages).filter("cleaned_text IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
-    out = texts.mapInPandas(read, f"id {kind}, row bigint, told string, skeleton string, furniture boolean, template string, slots array<string>, n bigint, alone bigint")
-    out = cut(out.withColumns({"h": F.xxhash64("skeleton"), "t": F.xxhash64("template")}))
-    empty = out.filter("row IS NULL").groupBy("told").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone")).filter((F.col("n") >= ENOUGH) & (F.col("alone") >= ALONE * F.col("n")))
-    lines = out.filter("row IS NOT NULL").join(empty.select("told", F.lit(True).alias("empty")), "told", "left")
-    # told: null where several sentences name the speaker, empty where none does
-    lines = lines.withColumn("content", F.col("told").isNull() | ((F.col("told") != "") & F.col("empty").isNull())).select("id", "row", "content", "furniture", "h", "skeleton", "t", "slots")
-    lines = cut(lines)
+    # lines by their hashes; sentences about a speaker; and once a batch what each hash stands for
+    out = cut(texts.mapInPandas(read, f"id {kind}, row bigint, told bigint, h bigint, furniture boolean, n bigint, alone bigint, skeleton string, template string, slots array<string>"))
+    empty = out.filter("n IS NOT NULL").groupBy(F.col("h").alias("told")).agg(F.sum("n").alias("n"), F.sum("alone").alias("alone")).filter((F.col("n") >= ENOUGH) & (F.col("alone") >= ALONE * F.col("n")))
+    lines = out.filter("row IS NOT NULL").select("id", "row", "told", "h", "furniture").join(empty.select("told", F.lit(True).alias("empty")), "told", "left")
+    # told: null where several sentences name the speaker, 0 where none does
+    lines = cut(lines.select("id", "row", (F.col("told").isNull() | ((F.col("told") != 0) & F.col("empty").isNull())).alias("content"), "furniture", "h"))
+    what = out.filter("skeleton IS NOT NULL").groupBy("h").agg(F.first("skeleton").alias("skeleton"), F.first(F.xxhash64("template")).alias("t"), F.first("slots").alias("slots"))
     base = lines.select("content", "row").distinct().groupBy().agg(F.sum(F.when(F.col("content"), 1).otherwise(0)).alias("c"), F.sum(F.when(F.col("content"), 0).otherwise(1)).alias("s")).first()
     odds = ((base.s or 0) + 1.0) / ((base.c or 0) + 1.0)
     ratio = lambda s, c: F.log((s + 0.3) / (c + 0.3) / F.lit(odds))
     own = ratio(F.col("s"), F.col("c"))
     clip = lambda x: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), x))
-    stats = lines.groupBy("h").agg(F.sum(F.when(F.col("content"), 0).otherwise(1)).alias("s"), F.sum(F.when(F.col("content"), 1).otherwise(0)).alias("c"), F.first("skeleton").alias("skeleton"), F.first("t").alias("t"), F.first("slots").alias("slots"))
+    stats = lines.groupBy("h").agg(F.sum(F.when(F.col("content"), 0).otherwise(1)).alias("s"), F.sum(F.when(F.col("content"), 1).otherwise(0)).alias("c")).join(what, "h")
     stats = cut(stats.withColumn("rare", F.col("s") + F.col("c") < ENOUGH))
     # Columns of aligned lines: those with several values are slots
     columns = stats.select("h", "s", "c", "t", "rare", F.posexplode("slots").alias("pos", "value"))
