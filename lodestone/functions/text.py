@@ -13,16 +13,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-# Roles that make a person-typed target a government, and words that tell a bloc; first match wins.
-GOVERNMENT_ROLES = r"(?i)minister|chancellor|secretary of state|premier"
+#: Roles that make a person-typed target a government.
+GOVERNMENT_ROLES = r"(?i)(minister|chancellor|kanzler|staatssekret|secretary of state|state secretary)"
+#: Phrases that tell a bloc; the first match wins.
 BLOCS = (
-    ("government", r"\b(government|cabinet|ruling|coalition|administration)\b"),
-    ("opposition", r"\b(opposition|opposite|other side)\b"),
-    ("left", r"\b(left|socialists?|labour)\b"),
-    ("right", r"\b(right|conservatives?)\b"),
+    ("opposition", r"(?i)\b(the )?opposition\b|those opposite|\bother side\b|opposite benches?"),
+    ("government", r"(?i)\b(the )?government\b|treasury benches?|\bcabinet\b"),
+    ("left", r"(?i)\bthe left\b|\bleft wing\b|\bleftists?\b"),
+    ("right", r"(?i)\bthe right\b|\bright wing\b|\brightists?\b"),
+)
+#: Titles before a name, each followed by white space; they may be stacked.
+TITLES = (
+    r"(?:the\s+)?(?:federal\s+)?(?:minister|bundesminister(?:in)?|staatssekretär(?:in)?|präsident(?:in)?|abg\.?|mag\.?|dr\.?|dipl\.?-?\s?ing\.?|prof\.?|mr|mrs|ms|miss|hon\.?)\s+"
 )
-#: Titles before a name.
-TITLES = r"(?:mr|mrs|ms|dr|prof|sir|dame|lord|lady|hon|the|right|honourable|minister|prime|state|secretary|deputy|senator|commissioner|chancellor|congressman|federal|president|frau|herr)\.?"
 #: Words left out of a party key.
 KEY_STOP = ("the", "party", "parties", "of", "and", "for", "a", "an")
 BLACKLIST = ("facebook.com", "twitter.com", "instagram.com", "linkedin.com", "youtube.com")
@@ -65,16 +68,17 @@ def casefold(c: Column) -> Column:
 
 
 def surname(c: Column) -> Column:
-    """Family name of a typed name: before a comma, else the last word after its titles; casefolded, '' if none."""
-    t = F.trim(F.regexp_replace(casefold(F.coalesce(c, F.lit(""))), rf"^(?:{TITLES}\s+)+(?=\S)", ""))
-    before = F.when(F.contains(t, F.lit(",")), F.trim(F.split(t, ",")[0])).otherwise(t)
-    return F.regexp_replace(F.element_at(F.split(before, r"\s+"), -1), r"[^a-z0-9ß-ɏЀ-ӿ'-]", "")
+    """Family name of a typed name: the last word before a comma, else the last word after its stacked titles; casefolded, '' if none."""
+    n = F.trim(F.coalesce(c, F.lit("")))
+    n = F.when(F.contains(n, F.lit(",")), F.trim(F.split(n, ",")[0])).otherwise(F.trim(F.regexp_replace(n, rf"^(?iu:{TITLES})+", "")))
+    n = F.trim(F.regexp_replace(n, r"^[.,;:]+|[.,;:]+$", ""))
+    return casefold(F.element_at(F.split(n, r"\s+"), -1))
 
 
 def bloc(c: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, pattern in reversed(BLOCS):
-        out = F.when(F.lower(c).rlike(pattern), F.lit(name)).otherwise(out)
+        out = F.when(c.rlike(pattern), F.lit(name)).otherwise(out)
     return out
 
 
@@ -98,6 +102,26 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]+)", 1))
 
 
+def wikipedia(url: Column) -> Column:
+    """``lang, title`` of a Wikipedia article's address, the title decoded; null for any other host."""
+    lang = F.regexp_extract(host(url), r"^([a-z]{2,3})\.wikipedia\.org$", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+/([^?#]*)", 1)
+    title = F.try_url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
+    return F.when(lang != "", F.struct(lang.alias("lang"), title.alias("title")))
+
+
+def page_file(url: Column) -> Column:
+    """Stable file name of an address."""
+    return F.concat(F.sha1(url), F.lit(".html"))
+
+
+def flip_name(c: Column) -> Column:
+    """``last, full`` of a name given as "Last, First" or plainly."""
+    last, first = F.trim(F.split(c, ",", 2)[0]), F.trim(F.split(c, ",", 2)[1])
+    comma = F.contains(c, F.lit(","))
+    return F.struct(F.when(comma, last).otherwise(F.trim(c)).alias("last"), F.when(comma, F.concat_ws(" ", first, last)).otherwise(F.trim(c)).alias("full"))
+
+
 def blacklisted(url: Column, domains: tuple[str, ...] = BLACKLIST) -> Column:
     h = host(url)
     out = F.lit(False)
@@ -184,9 +208,13 @@ def valid_codes(codes: Column, low: int, high: int) -> Column:
     return F.array_sort(F.array_distinct(F.filter(ints, lambda x: x.between(low, high))))
 
 
-#: Elements, and words in an element's class or id, that hold no content.
-HTML_DROP = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe", "svg", "button")
-HTML_NOISE = r"(?i)\b(nav|menu|cookie|banner|sidebar|footer|breadcrumb|advert|promo|social|share)"
+#: Elements, and parts of an element's class or id, that hold no content.
+HTML_DROP = frozenset(
+    ("script", "style", "noscript", "meta", "link", "head", "nav", "header", "footer", "aside", "form", "button", "input", "select", "textarea", "iframe", "object", "embed", "canvas", "svg", "figure")
+)
+HTML_NOISE = (
+    r"(?i)(cookie|consent|gdpr|banner|popup|modal|overlay|social|share|comment|sidebar|widget|newsletter|adverti|sponsor|related|recommend|promo|breadcrumb|pagination|pager|skip-to|site-header|site-footer|search-form|language-switch|nav-menu)"
+)
 HTML_LIMIT, HTML_LEAST, CUT_MARK = 80_000, 100, "\n[truncated]"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 

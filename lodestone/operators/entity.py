@@ -8,16 +8,46 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 
-#: Prefix of an interjection: up to five capitalised words or particles before a colon.
-INTERJECTION = r"^((?:(?:[A-ZÀ-Þ][\w.'’À-ž-]*|von|van|de|der|den|zu|di|da)\s+){0,4}[A-ZÀ-Þ][\w.'’À-ž-]*):\s"
+#: The prefix of an interjection, a name of up to five words before a colon; the first must be a name, particles may follow.
+INTERJECTION = r"^([A-ZÄÖÜ][A-Za-zÄÖÜäöüß.'\-]*(?:\s+(?:[A-ZÄÖÜ][A-Za-zÄÖÜäöüß.'\-]*|von|van|de|der|den|zu|di|da)){0,4}):\s"
+#: Least similarities and leads on the next.
 PERSON_RATIO, PERSON_MARGIN = 0.82, 0.05
 PARTY_RATIO, PARTY_MARGIN, CONTAINS_MARGIN = 0.88, 0.04, 0.15
+#: Fixed value: similar persons that a chooser is given at most.
+MAX_CANDIDATES = 6
 
 
 def in_period(at: Column, low: Column, high: Column) -> Column:
-    """Whether a date lies in a period; a missing or empty date or bound counts as inside."""
+    """Whether a date lies in a period; it counts as inside if the date or either bound is missing or empty."""
     gone = lambda c: c.isNull() | (c == "")
-    return gone(at) | ((gone(low) | (low <= at)) & (gone(high) | (at <= high)))
+    return gone(at) | gone(low) | gone(high) | ((F.substring(low, 1, 10) <= at) & (at <= F.substring(high, 1, 10)))
+
+
+#: Letters by how rare they are in European texts, rarest first; others are rarer still. Any order gives the same pairs.
+_RARE = "zqxjkvbpygfwmucldrhsnioate"
+
+
+def _bag(w: Column) -> Column:
+    """A word's letters numbered by their repetitions, the rarest first."""
+    letters = F.array_sort(F.split(w, ""))
+    numbered = F.transform(letters, lambda c, i: F.concat(c, (i - F.array_position(letters, c) + 1).cast("string")))
+    rank = lambda t: F.instr(F.lit(_RARE), F.substring(t, 1, 1))
+    return F.transform(F.array_sort(F.transform(numbered, lambda t: F.struct(rank(t).alias("r"), t.alias("t")))), lambda x: x["t"])
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, least: float) -> DataFrame:
+    """Distinct pairs of words of a block with a similarity of ``least`` or more, and their ``score``.
+
+    A similarity of s takes s/2 of both words' letters together in common. So of the letters in one fixed order, rare ones first, pairs share
+    one among the first few of each: an equi-join on these finds all pairs without meeting every word of the block with every other.
+    """
+    # with t common letters of n, one lies among the first n - t + 1; the partner has at least n * least / (2 - least) letters
+    first = lambda n: n - F.ceil(F.lit(least / 2) * (n + F.ceil(n * F.lit(least / (2 - least)) - 1e-9)) - 1e-9) + 1
+    keyed = lambda d, c: d.select(*block, c).filter(F.col(c) != "").distinct().withColumn("__k", F.explode(F.slice(_bag(F.col(c)), F.lit(1), F.greatest(F.lit(1), first(F.length(c))).cast("int"))))
+    pairs = keyed(left, a).join(keyed(right, b), [*block, "__k"]).filter((F.col(a) != F.col(b)) & (T.ratio_bound(F.col(a), F.col(b)) >= least)).select(*block, a, b).distinct()
+    common = F.size(F.array_intersect(_bag(F.col(a)), _bag(F.col(b))))
+    pairs = pairs.filter(2.0 * common >= F.lit(least) * (F.length(a) + F.length(b)) - 1e-9)
+    return pairs.withColumn("score", T.ratio(a, b)).filter(F.col("score") >= least)
 
 
 def match_surnames(queries: DataFrame, people: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -33,13 +63,12 @@ def match_surnames(queries: DataFrame, people: DataFrame, fuzzy: bool = True) ->
     out = queries.join(exact, "qid", "left")
     if fuzzy:
         lost = out.filter(F.col("n_exact").isNull() & (F.col("surname") != "")).select("qid", *block, F.col("surname").alias("q"), "at")
-        # similarity once per distinct pair of surnames, pruned by lengths before any Python
-        pairs = lost.select(*block, "q").distinct().join(people.select(*block, "surname").filter("surname <> ''").distinct(), block)
-        pairs = pairs.filter((F.col("q") != F.col("surname")) & (T.ratio_bound(F.col("q"), F.col("surname")) >= PERSON_RATIO)).withColumn("score", T.ratio("q", "surname")).filter(F.col("score") >= PERSON_RATIO)
+        pairs = similar_pairs(lost, people, block, "q", "surname", PERSON_RATIO)
         cand = lost.join(pairs, [*block, "q"]).join(people, [*block, "surname"]).filter(in_period(F.col("at"), F.col("min_date"), F.col("max_date")))
-        w = W.partitionBy("qid").orderBy(F.desc("score"), "speaker_id")
-        cand = cand.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w), "n": F.count(F.lit(1)).over(W.partitionBy("qid"))}).filter("r = 1")
-        best = cand.select("qid", F.col("n").alias("n_fuzzy"), (F.col("next").isNull() | (F.col("score") - F.col("next") >= PERSON_MARGIN)).alias("clear"), F.struct("speaker_id", "name").alias("f"))
+        # the best two are enough: the lead is on the next person
+        best = cand.groupBy("qid").agg(F.max_by(F.struct("speaker_id", "name"), F.struct("score", F.col("speaker_id"))).alias("f"), F.max("score").alias("s1"), F.count(F.lit(1)).alias("n_fuzzy"))
+        rival = cand.join(best.select("qid", F.col("f.speaker_id").alias("__b")), "qid").filter(F.col("speaker_id") != F.col("__b")).groupBy("qid").agg(F.max("score").alias("s2"))
+        best = best.join(rival, "qid", "left").select("qid", "n_fuzzy", (F.col("s2").isNull() | (F.col("s1") - F.col("s2") >= PERSON_MARGIN)).alias("clear"), "f")
         out = out.join(best, "qid", "left")
     else:
         out = out.withColumns({"n_fuzzy": F.lit(None).cast("bigint"), "clear": F.lit(False), "f": F.col("e")})
@@ -72,19 +101,29 @@ def recode_roles(accusations: DataFrame) -> DataFrame:
 
 
 def resolve_targets(accusations: DataFrame, speakers: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Pending person targets that aren't interjections, matched to speakers; ambiguous ones are left to a chooser stage."""
+    """Pending person targets that aren't interjections, matched to speakers by surname and period; several of the name, and those only similar (the
+    best MAX_CANDIDATES), are left to a chooser stage."""
     todo = accusations.filter("target_type = 'person' AND target_status = 'success' AND coalesce(is_interjection, 0) = 0 AND resolve_status = 'pending'")
     q = todo.select(F.col("id").alias("qid"), "country", "source_dataset", T.surname(F.col("target_text")).alias("surname"), F.substring("date", 1, 10).alias("at"))
     m = match_surnames(q, people_of(speakers), fuzzy)
-    method = F.when(F.col("status") == "ambiguous", F.concat(F.lit("llm_"), F.when(F.col("method") == "exact", "ambiguous").otherwise("fuzzy"))).otherwise(F.col("method"))
-    return m.select(F.col("qid").alias("id"), F.when(F.col("status") == "ambiguous", "unresolved").otherwise(F.col("status")).alias("resolve_status"), method.alias("resolve_method"), F.col("speaker_id").alias("resolved_speaker_id"), F.col("name").alias("resolved_name"), "n_candidates")
+    similar, sole = F.col("method") == "fuzzy", F.col("status") == "resolved"
+    done = sole & ~F.coalesce(similar, F.lit(False))
+    method = F.when(similar, "llm_fuzzy").when(F.col("status") == "ambiguous", "llm_ambiguous").otherwise(F.col("method"))
+    status = F.when(done | (F.col("status") == "no_surname"), F.col("status")).otherwise("unresolved")
+    n = F.when(similar, F.least("n_candidates", F.lit(MAX_CANDIDATES))).otherwise(F.col("n_candidates")).cast("bigint")
+    return m.select(F.col("qid").alias("id"), status.alias("resolve_status"), method.alias("resolve_method"), F.when(done, F.col("speaker_id")).alias("resolved_speaker_id"), F.when(done, F.col("name")).alias("resolved_name"), n.alias("n_candidates"))
 
 
-ISO3 = "AT:AUT BE:BEL BG:BGR CA:CAN CZ:CZE DE:DEU DK:DNK EE:EST ES:ESP FI:FIN FR:FRA GB:GBR GR:GRC HR:HRV HU:HUN IE:IRL IS:ISL IT:ITA LV:LVA NL:NLD NO:NOR NZ:NZL PL:POL PT:PRT RS:SRB SE:SWE SI:SVN SK:SVK AU:AUS US:USA BA:BIH UA:UKR TR:TUR"
+#: Two-letter and three-letter codes of the countries.
+ISO3 = {
+    "AT": "AUT", "AU": "AUS", "BA": "BIH", "BE": "BEL", "BG": "BGR", "CA": "CAN", "CZ": "CZE", "DE": "DEU", "DK": "DNK", "ES": "ESP", "FI": "FIN", "FR": "FRA", "GB": "GBR", "GR": "GRC", "HR": "HRV",
+    "HU": "HUN", "IS": "ISL", "IT": "ITA", "LT": "LTU", "LV": "LVA", "NL": "NLD", "NO": "NOR", "NZ": "NZL", "PL": "POL", "PT": "PRT", "RO": "ROU", "RS": "SRB", "SE": "SWE", "SI": "SVN", "SK": "SVK",
+    "TR": "TUR", "UA": "UKR", "US": "USA",
+}
 
 
 def iso3(country: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in ISO3.split() for x in pair.split(":")])[country]
+    return F.create_map(*[F.lit(x) for pair in ISO3.items() for x in pair])[country]
 
 
 def active(year: Column, first: Column, last: Column) -> Column:
@@ -117,9 +156,10 @@ def resolve_parties(accusations: DataFrame, parties: DataFrame) -> DataFrame:
     co = live.join(ex.select("qid"), "qid", "left_anti").filter(inside).groupBy("qid", "pid", "name").agg(F.max(sc).alias("s"))
     w = W.partitionBy("qid").orderBy(F.desc("s"), F.desc("pid"), F.desc("name"))
     co = co.withColumns({"r": F.row_number().over(w), "next": F.lead("s").over(w)}).filter("r = 1").select("qid", (F.col("next").isNull() | (F.col("s") - F.col("next") >= CONTAINS_MARGIN)).alias("clear"), F.struct("pid", "name").alias("p"))
-    fz = live.join(ex.select("qid"), "qid", "left_anti").join(co.select("qid"), "qid", "left_anti").filter((F.length("key") >= 4) & (F.length("ck") >= 4) & (T.ratio_bound(F.col("ck"), F.col("key")) >= PARTY_RATIO))
-    fz = fz.withColumn("s", T.ratio("ck", "key")).filter(F.col("s") >= PARTY_RATIO).groupBy("qid", "pid", "name").agg(F.max("s").alias("s"))
-    fz = fz.withColumns({"r": F.row_number().over(w), "next": F.lead("s").over(w)}).filter("r = 1").select("qid", (F.col("next").isNull() | (F.col("s") - F.col("next") >= PARTY_MARGIN)).alias("clear"), F.struct("pid", "name").alias("p"))
+    fz = live.join(ex.select("qid"), "qid", "left_anti").join(co.select("qid"), "qid", "left_anti").filter((F.length("key") >= 4) & (F.length("ck") >= 4) & (T.ratio_bound(F.col("ck"), F.col("key")) >= PARTY_RATIO - PARTY_MARGIN))
+    # rivals below the least similarity count too, as far as the lead reaches
+    fz = fz.withColumn("s", T.ratio("ck", "key")).filter(F.col("s") > PARTY_RATIO - PARTY_MARGIN).groupBy("qid", "pid", "name").agg(F.max("s").alias("s"))
+    fz = fz.withColumns({"r": F.row_number().over(w), "next": F.lead("s").over(w)}).filter(f"r = 1 AND s >= {PARTY_RATIO}").select("qid", (F.col("next").isNull() | (F.col("s") - F.col("next") >= PARTY_MARGIN)).alias("clear"), F.struct("pid", "name").alias("p"))
     res = (
         q.select("qid", "iso3", "text", "year")
         .join(ex.select("qid", F.col("n").alias("ne"), F.col("p").alias("pe")), "qid", "left")

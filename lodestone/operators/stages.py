@@ -49,10 +49,10 @@ def roll_up(children: DataFrame, parents: DataFrame, key: str, status: str, empt
 
 
 def readiness(speakers: DataFrame) -> DataFrame:
-    """``stage, ready``: rows pending in a stage whose predecessor succeeded, all stages in one pass."""
+    """``stage, ready``: rows pending in a stage whose predecessor succeeded (or, before cv_synth, was skipped), all stages in one pass."""
     before = {"query": None, "fetch": "query", "url_synth": "fetch", "cv_synth": "url_synth", **{f"annotate_{g}": "cv_synth" for g in "abcd"}}
     pend = lambda s: F.coalesce(F.col(f"{s}_status") == "pending", F.lit(False))
-    ready = {s: pend(s) & (F.coalesce(F.col(f"{p}_status") == "success", F.lit(False)) if p else F.lit(True)) for s, p in before.items()}
+    ready = {s: pend(s) & (F.coalesce(F.col(f"{p}_status").isin("success", *(["skipped"] if s == "cv_synth" else [])), F.lit(False)) if p else F.lit(True)) for s, p in before.items()}
     one = speakers.agg(*[F.count_if(c).alias(s) for s, c in ready.items()])
     return one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("ready")) for s in before])).alias("x")).select("x.*")
 

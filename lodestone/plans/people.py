@@ -14,39 +14,54 @@ ORACLES: dict = {}
 query = register(QUERIES, ORACLES)
 
 
-@query(r"""WITH h AS (SELECT id, country, source_dataset, speaker, CASE WHEN date IS NULL THEN NULL ELSE substr(date, 1, 10) END "at",
-regexp_extract(sentence, '^((?:(?:[A-ZÀ-Þ][\w.''’À-ž-]*|von|van|de|der|den|zu|di|da)\s+){0,4}[A-ZÀ-Þ][\w.''’À-ž-]*):\s', 1) i FROM accusations)
-SELECT id, i interjector, speaker target_text FROM h WHERE i <> ''""")
-def interjection_prefix(spark, d):
-    a = read(spark, d, "accusations", "id", "sentence", "speaker").withColumn("interjector", F.regexp_extract("sentence", entity.INTERJECTION, 1))
-    return a.filter("interjector <> ''").select("id", "interjector", F.col("speaker").alias("target_text"))
-
-
-@query()
-def interjections(spark, d):
-    """Interjections with the speaker they are attributed to (exact, else by similarity)."""
-    a = read(spark, d, "accusations", "id", "sentence", "speaker", "country", "source_dataset", "date")
-    return entity.attribute_interjections(a, read(spark, d, "speakers"))
-
-
 @query("""SELECT id, target_text, CASE WHEN r THEN 'government' ELSE target_type END target_type, CASE WHEN r THEN 'not_applicable' ELSE resolve_status END resolve_status, CASE WHEN NOT r THEN resolved_speaker_id END resolved_speaker_id,
-CASE WHEN NOT r THEN resolved_name END resolved_name FROM (SELECT *, coalesce(target_status = 'success' AND target_type = 'person' AND coalesce(regexp_matches(target_text, '(?i)minister|chancellor|secretary of state|premier'), false), false) r FROM accusations)""")
+CASE WHEN NOT r THEN resolved_name END resolved_name FROM (SELECT *, coalesce(target_status = 'success' AND target_type = 'person' AND coalesce(regexp_matches(target_text, '(?i)(minister|chancellor|kanzler|staatssekret|secretary of state|state secretary)'), false), false) r FROM accusations)""")
 def recode_roles(spark, d):
     r = entity.recode_roles(read(spark, d, "accusations"))
     return r.select("id", "target_text", "target_type", "resolve_status", "resolved_speaker_id", "resolved_name")
 
 
-_SUR = r"""CASE WHEN contains({0}, ',') THEN trim(string_split({0}, ',')[1]) ELSE {0} END"""
-_TITLE = r"^(?:(?:mr|mrs|ms|dr|prof|sir|dame|lord|lady|hon|the|right|honourable|minister|prime|state|secretary|deputy|senator|commissioner|chancellor|congressman|federal|president|frau|herr)\.?\s+)+"
+_TITLE = r"^(?i:(?:the\s+)?(?:federal\s+)?(?:minister|bundesminister(?:in)?|staatssekretär(?:in)?|präsident(?:in)?|abg\.?|mag\.?|dr\.?|dipl\.?-?\s?ing\.?|prof\.?|mr|mrs|ms|miss|hon\.?)\s+)+"
 
 
 def _surname(c: str) -> str:
-    t = f"trim(regexp_replace(replace(lower(coalesce({c}, '')), 'ß', 'ss'), '{_TITLE}', ''))"
-    before = _SUR.format(t)
-    return rf"regexp_replace(regexp_split_to_array({before}, '\s+')[-1], '[^a-z0-9ß-ɏЀ-ӿ''-]', '', 'g')"
+    n = f"trim(coalesce({c}, ''))"
+    n = f"CASE WHEN contains({n}, ',') THEN trim(string_split({n}, ',')[1]) ELSE trim(regexp_replace({n}, '{_TITLE}', '')) END"
+    return rf"replace(lower(regexp_split_to_array(trim(regexp_replace({n}, '^[.,;:]+|[.,;:]+$', '', 'g')), '\s+')[-1]), 'ß', 'ss')"
+
+
+_PERIOD = """(q."at" IS NULL OR q."at" = '' OR min_date IS NULL OR min_date = '' OR max_date IS NULL OR max_date = '' OR (substr(min_date, 1, 10) <= q."at" AND q."at" <= substr(max_date, 1, 10)))"""
+
+
+def _spoken(spark, d):
+    """Accusations with the interjector's name before the sentence, as in the minutes."""
+    a = read(spark, d, "accusations", "id", "sentence", "speaker", "country", "source_dataset", "date", "interjector_raw")
+    return a.withColumn("sentence", F.when(F.col("interjector_raw").isNotNull(), F.concat_ws(": ", "interjector_raw", F.coalesce("sentence", F.lit("")))).otherwise(F.col("sentence"))).drop("interjector_raw")
 
 
-_PERIOD = """(q."at" IS NULL OR q."at" = '' OR ((min_date IS NULL OR min_date = '' OR min_date <= q."at") AND (max_date IS NULL OR max_date = '' OR q."at" <= max_date)))"""
+_SPOKEN = r"""h AS (SELECT id, country, source_dataset, speaker, CASE WHEN date IS NOT NULL THEN substr(date, 1, 10) END "at",
+regexp_extract(CASE WHEN interjector_raw IS NOT NULL THEN interjector_raw || ': ' || coalesce(sentence, '') ELSE coalesce(sentence, '') END, '^([A-ZÄÖÜ][A-Za-zÄÖÜäöüß.''\-]*(?:\s+(?:[A-ZÄÖÜ][A-Za-zÄÖÜäöüß.''\-]*|von|van|de|der|den|zu|di|da)){0,4}):\s', 1) i FROM accusations)"""
+
+
+@query(f"WITH {_SPOKEN} SELECT id, i interjector, speaker target_text FROM h WHERE i <> ''")
+def interjection_prefix(spark, d):
+    a = _spoken(spark, d).withColumn("interjector", F.regexp_extract("sentence", entity.INTERJECTION, 1))
+    return a.filter("interjector <> ''").select("id", "interjector", F.col("speaker").alias("target_text"))
+
+
+@query(f"""WITH {_SPOKEN}, q AS (SELECT *, {_surname("i")} s FROM h WHERE i <> ''), p AS (SELECT speaker_id, name_cleaned, country, source_dataset, {_surname("name_cleaned")} s, min_date, max_date FROM speakers),
+e AS (SELECT q.id, count(*) n, min(speaker_id) sid, min_by(name_cleaned, speaker_id) nm FROM q JOIN p ON q.country = p.country AND q.source_dataset = p.source_dataset AND q.s = p.s WHERE q.s <> '' AND {_PERIOD} GROUP BY 1)
+SELECT q.id, i interjector, speaker target_text, CASE WHEN q.s = '' THEN 'no_surname' WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END status, CASE WHEN n = 1 THEN sid END speaker_id, CASE WHEN n = 1 THEN nm END AS name FROM q LEFT JOIN e USING (id)""")
+def interjections_exact(spark, d):
+    """Interjections attributed by surname and period alone."""
+    return entity.attribute_interjections(_spoken(spark, d), read(spark, d, "speakers"), fuzzy=False).select("id", "interjector", "target_text", "status", "speaker_id", "name")
+
+
+@query()
+def interjections(spark, d):
+    """Interjections with the speaker they are attributed to (exact, else by similarity)."""
+    return entity.attribute_interjections(_spoken(spark, d), read(spark, d, "speakers"))
+
 
 
 @query(f"""WITH q AS (SELECT id, country, source_dataset, {_surname("target_text")} s, CASE WHEN date IS NOT NULL THEN substr(date, 1, 10) END "at" FROM accusations
@@ -71,7 +86,7 @@ def resolve_parties(spark, d):
     return entity.resolve_parties(read(spark, d, "accusations"), read(spark, d, "partyfacts_core"))
 
 
-_ISO = ", ".join(f"('{a}', '{b}')" for a, b in (x.split(":") for x in entity.ISO3.split()))
+_ISO = ", ".join(f"('{a}', '{b}')" for a, b in entity.ISO3.items())
 
 
 @query(rf"""WITH iso(c, iso3) AS (VALUES {_ISO}), a AS (SELECT id, iso3, target_text t, {YEAR} y FROM accusations LEFT JOIN iso ON country = c WHERE target_type = 'political_party' AND target_status = 'success' AND target_text IS NOT NULL),

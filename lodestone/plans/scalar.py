@@ -45,9 +45,9 @@ def url_hosts(spark, d):
     return u.select("id", T.host(F.col("url")).alias("host"), T.blacklisted(F.col("url"), ("members-lens.gov.example",)).alias("blocked"))
 
 
-@query("""SELECT id, target_text, regexp_matches(target_text, '(?i)minister|chancellor|secretary of state|premier') AS is_role,
-CASE WHEN regexp_matches(lower(target_text), '\\b(government|cabinet|ruling|coalition|administration)\\b') THEN 'government' WHEN regexp_matches(lower(target_text), '\\b(opposition|opposite|other side)\\b') THEN 'opposition'
-WHEN regexp_matches(lower(target_text), '\\b(left|socialists?|labour)\\b') THEN 'left' WHEN regexp_matches(lower(target_text), '\\b(right|conservatives?)\\b') THEN 'right' END AS bloc FROM accusations WHERE target_text IS NOT NULL""")
+@query("""SELECT id, target_text, regexp_matches(target_text, '(?i)(minister|chancellor|kanzler|staatssekret|secretary of state|state secretary)') AS is_role,
+CASE WHEN regexp_matches(target_text, '(?i)\\b(the )?opposition\\b|those opposite|\\bother side\\b|opposite benches?') THEN 'opposition' WHEN regexp_matches(target_text, '(?i)\\b(the )?government\\b|treasury benches?|\\bcabinet\\b') THEN 'government'
+WHEN regexp_matches(target_text, '(?i)\\bthe left\\b|\\bleft wing\\b|\\bleftists?\\b') THEN 'left' WHEN regexp_matches(target_text, '(?i)\\bthe right\\b|\\bright wing\\b|\\brightists?\\b') THEN 'right' END AS bloc FROM accusations WHERE target_text IS NOT NULL""")
 def bloc_and_role(spark, d):
     a = read(spark, d, "accusations", "id", "target_text").filter("target_text IS NOT NULL")
     return a.select("id", "target_text", F.col("target_text").rlike(T.GOVERNMENT_ROLES).alias("is_role"), T.bloc(F.col("target_text")).alias("bloc"))

@@ -23,12 +23,15 @@ def status_counts(spark, d):
 _READY = {"query": None, "fetch": "query", "url_synth": "fetch", "cv_synth": "url_synth", **{f"annotate_{g}": "cv_synth" for g in "abcd"}}
 
 
-@query(" UNION ALL ".join(f"SELECT '{s}' stage, count(*) FILTER ({s}_status = 'pending'" + (f" AND {p}_status = 'success'" if p else "") + ") ready FROM speakers" for s, p in _READY.items()))
+_SKIP = {"cv_synth": ", 'skipped'"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' stage, count(*) FILTER ({s}_status = 'pending'" + (f" AND {p}_status IN ('success'{_SKIP.get(s, '')})" if p else "") + ") ready FROM speakers" for s, p in _READY.items()))
 def stage_readiness(spark, d):
     return stages.readiness(read(spark, d, "speakers"))
 
 
-@query("WITH r AS (" + " UNION ALL ".join(f"SELECT {i} pos, '{s}' stage, count(*) FILTER ({s}_status = 'pending' AND {p}_status = 'success') ready FROM speakers" for i, (s, p) in enumerate(_READY.items()) if p and s != "fetch") + ") SELECT stage, ready FROM r WHERE ready > 0 ORDER BY ready DESC, pos LIMIT 1")
+@query("WITH r AS (" + " UNION ALL ".join(f"SELECT {i} pos, '{s}' stage, count(*) FILTER ({s}_status = 'pending' AND {p}_status IN ('success'{_SKIP.get(s, '')})) ready FROM speakers" for i, (s, p) in enumerate(_READY.items()) if p and s != "fetch") + ") SELECT stage, ready FROM r WHERE ready > 0 ORDER BY ready DESC, pos LIMIT 1")
 def next_stage(spark, d):
     return stages.next_stage(stages.readiness(read(spark, d, "speakers")))
 
