@@ -1,4 +1,4 @@
-"""As-of joins and histories: a history becomes intervals once (``lead``), a lookup is then an equi-join with a range condition."""
+"""As-of joins and histories: a history becomes intervals once (``lead``), cut at the years they span; a lookup is then an equi-join on keys and year."""
 
 from __future__ import annotations
 
@@ -22,14 +22,33 @@ def intervals(history: DataFrame, keys: Sequence[str], start: str, tie: Sequence
     return h.withColumn("valid_from", begin).drop("__first")
 
 
+def _year(df: DataFrame, column: str) -> Column:
+    """The year of a date, timestamp or ISO text; of a number, a step of five."""
+    kind = df.schema[column].dataType.typeName()
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.year(column)
+    return F.substring(column, 1, 4).try_cast("int") if kind == "string" else F.floor(F.col(column) / 5).cast("int")
+
+
 def asof_join(facts: DataFrame, history: DataFrame, keys: Sequence[str], at: str, start: str, values: Sequence[str], tie: Sequence[Column] = (), or_first: bool = False) -> DataFrame:
-    """Each fact with the latest record of its keys that began at or before ``at`` (or, with ``or_first``, the first one if none did)."""
-    h = intervals(history, keys, start, tie, or_first).select(*[F.col(k).alias(f"__{k}") for k in keys], "valid_from", "valid_to", *values)
-    cond = F.lit(True)
+    """Each fact with the latest record of its keys that began at or before ``at`` (or, with ``or_first``, the first one if none did).
+
+    Facts meet only the records in force in their year, not the whole history of their keys, and a hot key is spread over its years.
+    """
+    ends = facts.agg(F.min(_year(facts, at)).alias("__lo"), F.max(_year(facts, at)).alias("__hi"))
+    h = intervals(history, keys, start, tie, or_first).join(F.broadcast(ends))  # one row
+    # open ends reach as far as the facts do; an interval without a year among the facts' is left out
+    first = F.greatest(F.when(F.col("valid_from").isNotNull(), _year(h, start)), F.col("__lo"))
+    last = F.least(_year(h, "valid_to"), F.col("__hi"))
+    whole = F.col("valid_from").isNull() & F.col("valid_to").isNull()
+    years = F.when(first <= last, F.sequence(first, last)).when(whole, F.array("__lo"))
+    h = h.withColumn("__year", F.explode(years)).select(*[F.col(k).alias(f"__{k}") for k in keys], "__year", "valid_from", "valid_to", *values)
+    f = facts.join(F.broadcast(ends)).withColumn("__at", F.coalesce(_year(facts, at), "__lo")).drop("__lo", "__hi")
+    cond = F.col("__at") == F.col("__year")
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"__{k}"))
     cond = cond & (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col(at))) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
-    return facts.join(h, cond, "left").drop("valid_from", "valid_to", *[f"__{k}" for k in keys])
+    return f.join(h, cond, "left").drop("valid_from", "valid_to", "__at", "__year", *[f"__{k}" for k in keys])
 
 
 def running_history(history: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
@@ -54,12 +73,14 @@ def years_since_active(grid: DataFrame, unit: str, member: str, start: str, acti
     return g.withColumn("exited", F.when(F.col(active) == 0, seen)).drop("__next")
 
 
-def timeline_pick(facts: DataFrame, timeline: DataFrame, key: str, at: str, fact_id: str) -> DataFrame:
+def timeline_pick(facts: DataFrame, timeline: DataFrame, key: str, at: str) -> DataFrame:
     """The entry of a person's timeline (``pos, start_year, end_year, party``) that covers ``at``: of several the latest begun, first
-    listed among equals; if none covers it, the first listed. Facts without a timeline keep null."""
-    t = timeline.select(F.col(key).alias("__k"), "pos", "start_year", "end_year", "party")
-    covers = (F.col("start_year").isNull() | (F.col("start_year") <= F.col(at))) & (F.col("end_year").isNull() | (F.col("end_year") >= F.col(at)))
-    j = facts.join(t, F.col(key) == F.col("__k"), "left").withColumn("covers", F.coalesce(covers, F.lit(False)))
-    rank = F.struct(F.col("covers").cast("int"), F.when(F.col("covers"), F.coalesce("start_year", F.lit(-9999))).otherwise(F.lit(0)), -F.col("pos"))
-    picked = j.groupBy(*facts.columns).agg(F.max_by("party", rank).alias("party"), F.max("covers").alias("covered"))
-    return picked
+    listed among equals; if none covers it, the first listed. Facts without a timeline keep null; equal facts stay as many.
+
+    A person's entries become one array, so facts are joined once and neither multiplied nor grouped again."""
+    t = timeline.groupBy(F.col(key).alias("__k")).agg(F.collect_list(F.struct("pos", "start_year", "end_year", "party")).alias("__t"))  # a person's entries
+    j = facts.join(t, F.col(key) == F.col("__k"), "left")
+    covers = lambda e: F.coalesce((e["start_year"].isNull() | (e["start_year"] <= F.col(at))) & (e["end_year"].isNull() | (e["end_year"] >= F.col(at))), F.lit(False))
+    inside = F.array_max(F.transform(F.filter("__t", covers), lambda e: F.struct(F.coalesce(e["start_year"], F.lit(-9999)).alias("y"), (-e["pos"]).alias("p"), e["party"].alias("party"))))
+    listed = F.array_min(F.transform("__t", lambda e: F.struct(e["pos"].alias("p"), e["party"].alias("party"))))
+    return j.withColumns({"party": F.coalesce(F.when(inside.isNotNull(), inside["party"]), F.when(inside.isNull(), listed["party"])), "covered": inside.isNotNull()}).drop("__k", "__t")

@@ -39,7 +39,7 @@ def covariates(keys: DataFrame, speakers: DataFrame, ann: DataFrame) -> DataFram
     k = k.join(dim, ["speaker", "country", "source_dataset"], "left")
     person = annotations(ann).drop("parties")
     k = k.join(person, "speaker_id", "left")
-    picked = timeline_pick(k.filter("speaker_id IS NOT NULL").select("speaker_id", "year").distinct(), timelines(ann), "speaker_id", "year", "speaker_id")
+    picked = timeline_pick(k.filter("speaker_id IS NOT NULL").select("speaker_id", "year").distinct(), timelines(ann), "speaker_id", "year")
     k = k.join(picked.select(F.col("speaker_id").alias("__s"), F.col("year").alias("__y"), "party"), F.col("speaker_id").eqNullSafe(F.col("__s")) & F.col("year").eqNullSafe(F.col("__y")), "left").drop("__s", "__y")
     return k.withColumns({"age": F.when(F.col("birth_year") > 0, F.col("year") - F.col("birth_year")), "match": F.when(F.col("speaker_id").isNull(), "no_speaker").when(F.col("party").isNull(), "no_party").otherwise("resolved")})
 

@@ -12,10 +12,9 @@ KEY = ["speaker_id", "country", "source_dataset", "year"]
 
 
 def speaker_year_panel(exposure: DataFrame, made: DataFrame, received: DataFrame, keys: Sequence[str] = KEY, covariates: Sequence[str] = (), order: str | None = None) -> DataFrame:
-    """Sentences, accusations made and received per key, zero-filled, with one representative row's covariates (the first in ``order``)."""
-    first = [F.min_by(F.struct(*covariates), order).alias("__c")] if covariates else []
+    """Sentences, accusations made and received per key, zero-filled, with each covariate's first value in ``order`` that isn't null."""
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in covariates]
     e = exposure.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_sentences"), *first)
-    e = e.select(*keys, "n_sentences", *[F.col(f"__c.{c}").alias(c) for c in covariates])
     m = made.groupBy(*keys).agg(F.count(F.lit(1)).alias("acc_made"))
     r = received.groupBy(*keys).agg(F.count(F.lit(1)).alias("acc_received"))
     out = e.join(m, list(keys), "left").join(r, list(keys), "left")
@@ -87,13 +86,20 @@ def draw(*parts: Column) -> Column:
 def choice_sets(events: DataFrame, window_days: int = 30, controls: int = 10) -> DataFrame:
     """Of each event (``obs, a, b, at``; actors are whole numbers): the chosen target and up to ``controls`` drawn other targets of the
     same actor, each with ``provoked``: whether it accused the actor within ``window_days`` before (strictly before the day itself).
-    Actors with one target have no set."""
-    targets = events.select("a", F.col("b").alias("cand")).distinct()
-    many = targets.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2").select("a")
-    e = events.join(many, "a", "left_semi")
-    w = W.partitionBy("obs").orderBy(draw(F.col("obs"), F.col("cand")), "cand")
-    rest = e.join(targets, "a").filter("cand <> b").withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= controls).drop("__r")
-    sets = e.withColumn("cand", F.col("b")).withColumn("chosen", F.lit(1)).unionByName(rest.withColumn("chosen", F.lit(0)))
+    Actors with one target have no set.
+
+    An actor's targets are numbered in a drawn order; an event takes the ones that follow a place drawn for it, leaving its own out. So an event
+    meets as many rows as it takes, however many targets its actor has.
+    """
+    t = events.select("a", F.col("b").alias("cand")).distinct()
+    t = t.withColumn("pos", F.row_number().over(W.partitionBy("a").orderBy(draw(F.col("a"), F.col("cand")), "cand")) - 1)  # distinct targets, not events
+    k = t.groupBy("a").agg(F.count(F.lit(1)).cast("int").alias("k")).filter("k >= 2")
+    e = events.join(k, "a").join(t.select("a", F.col("cand").alias("b"), F.col("pos").alias("own")), ["a", "b"])
+    begin = F.pmod(draw(F.col("obs")), F.col("k") - 1)
+    step = F.explode(F.sequence(F.lit(0), F.least(F.lit(controls), F.col("k") - 1) - 1))
+    rest = e.withColumn("j", step).withColumn("o", F.pmod(begin + F.col("j"), F.col("k") - 1)).withColumn("pos", (F.col("o") + (F.col("o") >= F.col("own")).cast("int")).cast("int"))
+    rest = rest.join(t, ["a", "pos"]).select("obs", "a", "b", "at", "cand", F.lit(0).alias("chosen"))
+    sets = e.select("obs", "a", "b", "at", F.col("b").alias("cand"), F.lit(1).alias("chosen")).unionByName(rest)
     past = events.select(F.col("a").alias("cand"), F.col("b").alias("a"), F.col("at").alias("then"))
     hit = sets.join(past, ["cand", "a"]).filter((F.col("then") < F.col("at")) & (F.col("then") >= F.date_sub("at", window_days))).select("obs", "cand").distinct().withColumn("provoked", F.lit(1))
     return sets.join(hit, ["obs", "cand"], "left").select("obs", "a", "cand", "chosen", F.coalesce("provoked", F.lit(0)).alias("provoked"))

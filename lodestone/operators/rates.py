@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import per_10k
+from ..session import cut
 
 
 def rate_table(exposure: DataFrame, events: DataFrame, keys: Sequence[str], n: str = "n_sentences", k: str = "n_accusations", rate: str = "rate_10k") -> DataFrame:
@@ -55,11 +56,44 @@ def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
+    """One row ``q`` with the exact linear quantiles; null and NaN don't count, nulls without any value.
+
+    Values are counted, the counts sorted over range partitions and summed up from the partitions before: no task holds all values.
+    """
+    v = F.col(column).cast("double")
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = df.select(v.alias("v")).filter("v IS NOT NULL AND NOT isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts.repartitionByRange(n, "v").withColumn("p", F.spark_partition_id()))
+    parts = counts.groupBy("p").agg(F.sum("n").alias("k"))  # as many rows as partitions
+    before = parts.select("p", F.coalesce(F.sum("k").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("k").over(W.partitionBy(F.lit(1))).alias("total"))
+    up = counts.join(F.broadcast(before), "p").withColumn("up", F.col("before") + F.sum("n").over(W.partitionBy("p").orderBy("v")))
+    at = lambda rank: F.min(F.when(F.col("up") > rank, F.col("v")))
+    place = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
+    got = up.agg(F.max("total").alias("total"), *[at(F.floor(h)).alias(f"a{i}") for i, h in enumerate(place)], *[at(F.ceil(h)).alias(f"b{i}") for i, h in enumerate(place)])
+    return got.select(F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (h - F.floor(h)) for i, h in enumerate(place)]).alias("q"))
+
+
 def describe(df: DataFrame, column: str, probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Exact summary statistics with linear quantiles."""
     c = F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
-    qs = [F.round(F.percentile(c, p), 6).alias(f"p{round(p * 100):02d}") for p in probs]
-    return df.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), *qs)
+    one = df.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    qs = [F.round(F.col("q")[i], 6).alias(f"p{round(p * 100):02d}") for i, p in enumerate(probs)]
+    return one.join(F.broadcast(quantiles(df, column, probs))).select("n", "mean", "std", "min", "max", *qs)  # one row each
+
+
+def ecdf(df: DataFrame, group: str, column: str, out: str = "ecdf") -> DataFrame:
+    """Each row with the share of its group's rows at or below its value: running sums over the distinct values, joined back."""
+    counts = df.groupBy(group, column).agg(F.count(F.lit(1)).alias("__n"))
+    w = W.partitionBy(group)
+    share = counts.select(F.col(group).alias("__g"), F.col(column).alias("__v"), (F.sum("__n").over(w.orderBy(column)) / F.sum("__n").over(w)).alias(out))
+    return df.join(share, F.col(group).eqNullSafe(F.col("__g")) & F.col(column).eqNullSafe(F.col("__v"))).drop("__g", "__v")
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows drawn without repetition by a seeded draw on a whole-number key: the same for any partitioning."""
+    mixed = (F.col(key).cast("bigint") % 1000003) * 7919 + F.lit(int(seed) * 1103 + 101)
+    return df.orderBy(mixed % 1000003, F.col(key)).limit(n)
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -73,8 +107,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def qcut(df: DataFrame, column: str, out: str = "bin", n: int = 4) -> DataFrame:
     """Right-closed quantile bins from linear quantiles, the lowest value included; null stays null."""
-    probs = [i / n for i in range(1, n)]
-    edges = df.agg(F.percentile(column, F.array(*map(F.lit, probs))).alias("__e"))
+    edges = quantiles(df, column, [i / n for i in range(1, n)]).withColumnRenamed("q", "__e")
     expr = F.lit(n - 1)
     for i in reversed(range(n - 1)):
         expr = F.when(F.col(column) <= F.col("__e")[i], F.lit(i)).otherwise(expr)

@@ -129,7 +129,7 @@ def qcut_rates(spark, d):
 SELECT CASE WHEN l_quantity > q THEN 'high' ELSE 'low' END || '-' || CASE WHEN l_extendedprice > p THEN 'high' ELSE 'low' END cell, count(*) n FROM lineitem, m GROUP BY 1""")
 def median_split_2x2(spark, d):
     line = read(spark, d, "lineitem", "l_quantity", "l_extendedprice")
-    m = line.agg(F.median("l_quantity").alias("q"), F.median("l_extendedprice").alias("p"))
+    m = R.quantiles(line, "l_quantity", [0.5]).select(F.col("q")[0].alias("q")).join(F.broadcast(R.quantiles(line, "l_extendedprice", [0.5]).select(F.col("q")[0].alias("p"))))
     side = lambda c, e: F.when(F.col(c) > F.col(e), "high").otherwise("low")
     return line.join(F.broadcast(m)).groupBy(F.concat_ws("-", side("l_quantity", "q"), side("l_extendedprice", "p")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))  # one row
 
@@ -166,7 +166,7 @@ def score_histogram(spark, d):
 
 @query("SELECT c_custkey, c_acctbal, round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal), 6) ecdf FROM customer")
 def ecdf_by_group(spark, d):
-    return read(spark, d, "customer").select("c_custkey", "c_acctbal", F.round(F.cume_dist().over(W.partitionBy("c_nationkey").orderBy("c_acctbal")), 6).alias("ecdf"))
+    return R.ecdf(read(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal"), "c_nationkey", "c_acctbal").select("c_custkey", "c_acctbal", F.round("ecdf", 6).alias("ecdf"))
 
 
 @query(f"SELECT country, source_dataset, count(*) n FROM accusations WHERE country NOT IN {EXCLUDED} GROUP BY ALL")

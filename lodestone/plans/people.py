@@ -196,9 +196,10 @@ def retaliation_feasibility(spark, d):
     return g.agg(n.alias("n"), F.median("gap_days").alias("median_gap"), share(30), share(90), share(365), F.when(n >= 1000, "STRONG").when(n >= 200, "MODERATE").otherwise("WEAK").alias("verdict"))
 
 
-_SETS = f"""{_EV}, t AS (SELECT DISTINCT a, b cand FROM ev), m AS (SELECT a FROM t GROUP BY 1 HAVING count(*) >= 2), e AS (SELECT * FROM ev WHERE a IN (SELECT a FROM m)),
-c AS (SELECT e.obs, e.a, t.cand, e."at", row_number() OVER (PARTITION BY obs ORDER BY (((12345 * 1103 + obs * 7919 + 101) % 1000003) * 1103 + t.cand * 7919 + 101) % 1000003, t.cand) r FROM e JOIN t ON e.a = t.a WHERE t.cand <> e.b),
-s AS (SELECT obs, a, b cand, "at", 1 chosen FROM e UNION ALL SELECT obs, a, cand, "at", 0 FROM c WHERE r <= 10),
+_SETS = f"""{_EV}, t AS (SELECT a, cand, row_number() OVER (PARTITION BY a ORDER BY (((12345 * 1103 + a * 7919 + 101) % 1000003) * 1103 + cand * 7919 + 101) % 1000003, cand) - 1 pos, count(*) OVER (PARTITION BY a) k FROM (SELECT DISTINCT a, b cand FROM ev)),
+e AS (SELECT ev.*, t.pos own, k FROM ev JOIN t ON ev.a = t.a AND ev.b = t.cand WHERE k >= 2),
+x AS (SELECT e.*, (((12345 * 1103 + obs * 7919 + 101) % 1000003) % (k - 1) + j) % (k - 1) o FROM e, range(10) r(j) WHERE j < least(10, k - 1)),
+s AS (SELECT obs, a, b cand, "at", 1 chosen FROM e UNION ALL SELECT x.obs, x.a, t.cand, x."at", 0 FROM x JOIN t ON x.a = t.a AND t.pos = x.o + CASE WHEN x.o >= x.own THEN 1 ELSE 0 END),
 cs AS (SELECT obs, a, cand, chosen, CASE WHEN EXISTS (SELECT 1 FROM ev x WHERE x.a = s.cand AND x.b = s.a AND x."at" < s."at" AND x."at" >= s."at" - 30) THEN 1 ELSE 0 END provoked FROM s)"""
 
 

@@ -58,6 +58,12 @@ def _design(pdf: pd.DataFrame, numeric: Sequence[str], levels: dict[str, list[st
     return np.column_stack(cols)
 
 
+def _summed(parts: DataFrame, column: str) -> np.ndarray:
+    """The element-wise sum of an array column of equal lengths, added up before it reaches the driver."""
+    rows = parts.select(F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()  # one matrix
+    return np.array([r.v for r in sorted(rows, key=lambda r: r.i)])
+
+
 def fit_counts(df: DataFrame, y: str, numeric: Sequence[str] = (), factors: Sequence[str] = (), exposure: str | None = None, family: str = "poisson", cluster: str | None = None, alpha: float = 1.0, robust: bool = False, iterations: int = 50) -> Fit:
     """Log-link Poisson or negative-binomial (fixed ``alpha``) regression by iteratively reweighted least squares.
 
@@ -93,8 +99,7 @@ def fit_counts(df: DataFrame, y: str, numeric: Sequence[str] = (), factors: Sequ
         yield pd.DataFrame({"g": [np.concatenate([g.ravel(), b, s]).tolist()]})
 
     def gather(beta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = d.mapInPandas(lambda it: sums(it, beta), "g array<double>").collect()  # one bounded row per task
-        t = np.sum([np.array(r.g) for r in rows], axis=0)
+        t = _summed(d.mapInPandas(lambda it: sums(it, beta), "g array<double>"), "g")
         return t[: k * k].reshape(k, k), t[k * k : k * k + k], t[-3:]
 
     beta = None
@@ -110,6 +115,7 @@ def fit_counts(df: DataFrame, y: str, numeric: Sequence[str] = (), factors: Sequ
     clusters = None
     if cluster or robust:
         def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((k, k))
             for pdf in batches:
                 x, yy = _design(pdf, numeric, levels), pdf[y].to_numpy(float)
                 off = np.log(pdf[exposure].to_numpy(float)) if exposure else 0.0
@@ -117,10 +123,12 @@ def fit_counts(df: DataFrame, y: str, numeric: Sequence[str] = (), factors: Sequ
                 v = mu if family == "poisson" else mu + alpha * mu * mu
                 sc = x * ((yy - mu) * mu / v)[:, None]
                 if not cluster:
-                    yield pd.DataFrame({"c": [""], "s": [(sc.T @ sc).ravel().tolist()]})
+                    total += sc.T @ sc
                     continue
                 by = pd.DataFrame(sc).groupby(pdf[cluster].astype(str).to_numpy()).sum()
                 yield pd.DataFrame({"c": by.index.to_numpy(), "s": by.to_numpy().tolist()})
+            if not cluster:
+                yield pd.DataFrame({"c": [""], "s": [total.ravel().tolist()]})
 
         parts = d.mapInPandas(scores, "c string, s array<double>")
         if cluster:
@@ -134,14 +142,13 @@ def fit_counts(df: DataFrame, y: str, numeric: Sequence[str] = (), factors: Sequ
                     if len(a):
                         m += a.T @ a
                         c += len(a)
-                yield pd.DataFrame({"m": [m.ravel().tolist()], "c": [c]})
+                yield pd.DataFrame({"m": [[*m.ravel().tolist(), float(c)]]})
 
-            rows = each.mapInPandas(meat, "m array<double>, c bigint").collect()
-            m, clusters = np.sum([np.array(r.m) for r in rows], axis=0).reshape(k, k), sum(r.c for r in rows)
+            t = _summed(each.mapInPandas(meat, "m array<double>"), "m")
+            m, clusters = t[:-1].reshape(k, k), int(t[-1])
             factor = clusters / max(1, clusters - 1) * (n - 1) / max(1, n - k)
         else:
-            rows = parts.select("s").collect()
-            m, factor = np.sum([np.array(r.s) for r in rows], axis=0).reshape(k, k), n / max(1, n - k)
+            m, factor = _summed(parts, "s").reshape(k, k), n / max(1, n - k)
         cov = factor * bread @ m @ bread
     else:
         cov = bread
@@ -198,7 +205,7 @@ def design_rank(df: DataFrame, numeric: Sequence[str], factors: Sequence[str] =
             g += x.T @ x
         yield pd.DataFrame({"g": [g.ravel().tolist()]})
 
-    g = np.sum([np.array(r.g) for r in d.mapInPandas(gram, "g array<double>").collect()], axis=0).reshape(k, k)
+    g = _summed(d.mapInPandas(gram, "g array<double>"), "g").reshape(k, k)
     names = ["Intercept", *numeric, *[f"{f}[{v}]" for f, vs in levels.items() for v in vs[1:]]]
     n = g[0, 0]
     flat = [names[i] for i in range(1, k) if n and abs(g[i, i] / n - (g[0, i] / n) ** 2) < 1e-12]

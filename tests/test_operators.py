@@ -166,7 +166,7 @@ def test_active_years(spark, year, want):
 def test_timeline_pick(spark):
     t = spark.createDataFrame([("s", 0, 1990, 2000, "A"), ("s", 1, 2000, None, "B"), ("s", 2, None, None, "C"), ("u", 0, 1990, 2000, "A")], "speaker_id string, pos int, start_year int, end_year int, party string")
     f = spark.createDataFrame([("s", 2000), ("s", 1985), ("u", 2010), ("v", 2000)], "speaker_id string, year int")
-    got = {(r.speaker_id, r.year): r.party for r in asof.timeline_pick(f, t, "speaker_id", "year", "x").collect()}
+    got = {(r.speaker_id, r.year): r.party for r in asof.timeline_pick(f, t, "speaker_id", "year").collect()}
     assert got == {("s", 2000): "B", ("s", 1985): "C", ("u", 2010): "A", ("v", 2000): None}
 
 
