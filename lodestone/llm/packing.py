@@ -108,8 +108,8 @@ def pack(docs: DataFrame, containers: DataFrame, doc_id: str = "doc_id", source:
         return pd.DataFrame(rows, columns=["container", "doc_id", "part", "bin", "n_tokens"])
 
     kind = items.schema["doc_id"].dataType.simpleString()
-    # each shard is a good deal of work for few bytes: keep them apart
-    return items.repartition(min(2 * shards, 2_000), "shard").groupBy("shard").applyInPandas(run, f"container string, doc_id {kind}, part int, bin string, n_tokens bigint")
+    # each shard is a good deal of work for few bytes: keep them apart, at most a few to a task
+    return items.repartition(max(min(2 * shards, 2_000), shards // 4), "shard").groupBy("shard").applyInPandas(run, f"container string, doc_id {kind}, part int, bin string, n_tokens bigint")
 
 
 def report(packed: DataFrame, containers: DataFrame) -> DataFrame:
