@@ -26,22 +26,44 @@ def annotations(ann: DataFrame) -> DataFrame:
 
 
 def timelines(ann: DataFrame) -> DataFrame:
-    """``speaker_id, pos, start_year, end_year, party`` (id, else the raw name)."""
+    """``speaker_id, pos, start_year, end_year, party`` (a struct of ``id`` and ``name``; entries without id are kept)."""
     x = annotations(ann).select("speaker_id", F.posexplode("parties").alias("pos", "p"))
-    return x.select("speaker_id", "pos", "p.start_year", "p.end_year", F.coalesce(F.col("p.partyfacts_id").cast("string"), F.col("p.party_name_raw")).alias("party"))
+    return x.select("speaker_id", "pos", "p.start_year", "p.end_year", F.struct(F.col("p.partyfacts_id").alias("id"), F.col("p.partyfacts_name").alias("name")).alias("party"))
 
 
-def covariates(keys: DataFrame, speakers: DataFrame, ann: DataFrame) -> DataFrame:
-    """Of each distinct (speaker, country, source_dataset, date): ``match`` (no_speaker, no_party, resolved), person and party fields and age."""
+PERSON = ("gender", "birth_year", "birth_place", "highest_isced", "career_sectors", "age", "partyfacts_id", "party_name")
+
+
+def covariates_by_id(keys: DataFrame, ann: DataFrame) -> DataFrame:
+    """Of each distinct (speaker_id, date): PERSON fields at that date and whether there is any timeline (``has_parties``). The party is the timeline's entry at the year, if that has an id; without a year there is none."""
+    k = keys.select("speaker_id", "date").distinct().withColumn("year", T.year_of(F.col("date")))
+    person = annotations(ann)
+    k = k.join(person.withColumn("has_parties", F.coalesce(F.size("parties") > 0, F.lit(False))).drop("parties"), "speaker_id", "left")
+    k = timeline_pick(k, timelines(ann), "speaker_id", "year")
+    known = F.col("year").isNotNull() & F.col("party.id").isNotNull()
+    return k.select(
+        "speaker_id", "date", "gender", "birth_year", "birth_place", "highest_isced", "career_sectors", F.when(F.col("birth_year") > 0, F.col("year") - F.col("birth_year")).alias("age"),
+        F.when(known, F.col("party.id")).alias("partyfacts_id"), F.when(known, F.col("party.name")).alias("party_name"), F.coalesce("has_parties", F.lit(False)).alias("has_parties"),
+    )
+
+
+def speaker_ids(speakers: DataFrame) -> DataFrame:
+    """``speaker, country, source_dataset, speaker_id``, the best supported one of equal names."""
     dim = speakers.select(F.col("name_cleaned").alias("speaker"), "country", "source_dataset", "speaker_id", "n_sentences")
-    dim = dim.groupBy("speaker", "country", "source_dataset").agg(F.max_by("speaker_id", F.struct(F.coalesce("n_sentences", F.lit(0)), "speaker_id")).alias("speaker_id"))
-    k = keys.select("speaker", "country", "source_dataset", "date").distinct().withColumn("year", T.year_of(F.col("date")))
-    k = k.join(dim, ["speaker", "country", "source_dataset"], "left")
-    person = annotations(ann).drop("parties")
-    k = k.join(person, "speaker_id", "left")
-    picked = timeline_pick(k.filter("speaker_id IS NOT NULL").select("speaker_id", "year").distinct(), timelines(ann), "speaker_id", "year")
-    k = k.join(picked.select(F.col("speaker_id").alias("__s"), F.col("year").alias("__y"), "party"), F.col("speaker_id").eqNullSafe(F.col("__s")) & F.col("year").eqNullSafe(F.col("__y")), "left").drop("__s", "__y")
-    return k.withColumns({"age": F.when(F.col("birth_year") > 0, F.col("year") - F.col("birth_year")), "match": F.when(F.col("speaker_id").isNull(), "no_speaker").when(F.col("party").isNull(), "no_party").otherwise("resolved")})
+    return dim.groupBy("speaker", "country", "source_dataset").agg(F.max_by("speaker_id", F.struct(F.coalesce("n_sentences", F.lit(0)), "speaker_id")).alias("speaker_id"))
+
+
+def covariates(keys: DataFrame, speakers: DataFrame, ann: DataFrame) -> DataFrame:
+    """Of each distinct (speaker, country, source_dataset, date): ``match`` (no_speaker, no_party, resolved), the speaker's id and PERSON fields."""
+    k = keys.select("speaker", "country", "source_dataset", "date").distinct().join(speaker_ids(speakers), ["speaker", "country", "source_dataset"], "left")
+    c = covariates_by_id(k.filter("speaker_id IS NOT NULL"), ann).withColumnsRenamed({"speaker_id": "__s", "date": "__d"})
+    k = k.join(c, (F.col("speaker_id") == F.col("__s")) & F.col("date").eqNullSafe(F.col("__d")), "left").drop("__s", "__d")
+    return k.withColumn("match", F.when(F.col("speaker_id").isNull(), "no_speaker").when(F.col("partyfacts_id").isNull(), "no_party").otherwise("resolved"))
+
+
+def party_status(dim: DataFrame) -> DataFrame:
+    """The stricter status of the party table: a speaker without any timeline counts as ``no_speaker``, one without a date or a party with id as ``no_party``."""
+    return dim.withColumn("status", F.when(F.col("speaker_id").isNull() | ~F.coalesce("has_parties", F.lit(False)), "no_speaker").when(F.col("partyfacts_id").isNull(), "no_party").otherwise("resolved"))
 
 
 def join_back(facts: DataFrame, dim: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import descriptive, histories, keyed, people, scalar, state
+from . import descriptive, histories, keyed, people, scalar, small, state
 
-MODULES = (descriptive, scalar, histories, people, state, keyed)
+MODULES = (descriptive, scalar, histories, people, state, small, keyed)
 
 
 def queries():
