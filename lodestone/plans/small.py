@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import codebooks
 from ..functions import text as T
 from ..operators import entity, rates, views
+from ..session import work_dir
+from ..sources import readers, writers
+from ..streaming import context as stream
 from .tables import read, register
 
 QUERIES: dict = {}
@@ -67,13 +70,42 @@ def sql_session(spark, d):
     return s.sql("SELECT source_dataset, count(*) AS n, count(DISTINCT speaker) AS n_speakers FROM {accusations} GROUP BY 1")
 
 
-@query("SELECT country, count(*) n, CAST(sum(n_sentences) AS BIGINT) n_sentences FROM speakers GROUP BY 1")
-def swapped_table(spark, d):
-    """Speakers written to a table in the shared folder, read back and summed up."""
-    from ..session import cut
+@query("SELECT speaker_id, name_cleaned, country, CAST(n_sentences AS VARCHAR) n_sentences FROM speakers")
+def csv_round_trip(spark, d):
+    """Speakers written as CSV once, read back as text under their aliases."""
+    path = f"{work_dir(spark)}/speakers.csv"
+    out = read(spark, d, "speakers", "speaker_id", F.col("name_cleaned").alias("Speaker Name"), "country", "n_sentences")
+    for _ in range(2):  # the second write finds the first
+        writers.write_once(out, path, fmt="csv")
+    back = readers.csv_strings(spark, path, readers.header(spark, path))
+    return readers.resolve_aliases(back, {"speaker_id": (), "name_cleaned": ("speaker name",), "country": (), "n_sentences": ()})
+
 
-    s = cut(read(spark, d, "speakers", "country", "n_sentences"))
-    return s.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.sum("n_sentences").cast("bigint").alias("n_sentences"))
+@query("SELECT country, count(*) n, CAST(sum(n_sentences) AS BIGINT) n_sentences FROM speakers WHERE country IS NOT NULL GROUP BY 1")
+def swapped_table(spark, d):
+    """Speakers written as a table, replaced by a newer version, read back with the filter pushed down and summed up."""
+    path = f"{work_dir(spark)}/speakers"
+    s = read(spark, d, "speakers", "country", "n_sentences")
+    writers.replace(s.limit(1), path)
+    writers.replace(s, path)
+    return readers.parquet(spark, path).filter("country IS NOT NULL").groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.sum("n_sentences").cast("bigint").alias("n_sentences"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) row_seq, id FROM accusations")
+def rows_in_order(spark, d):
+    """Rows numbered in the order they are read."""
+    return readers.row_index(read(spark, d, "accusations", "id")).select("row_seq", "id")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) window_start, event_type, count(*) n FROM events GROUP BY 1, 2")
+def stream_rates(spark, d):
+    """Events read as a stream, counted by day and kind."""
+    path, out = work_dir(spark), work_dir(spark)
+    schema = read(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counts = stream.rates_by_window(rows)
+    counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 @query("""WITH q AS (SELECT speaker_id, upper(split_part(name_cleaned, ',', 1)) AS last, country AS state, coalesce(TRY_CAST(substr(min_date, 1, 4) AS INTEGER), 1900) y0, coalesce(TRY_CAST(substr(max_date, 1, 4) AS INTEGER), 2100) y1 FROM speakers WHERE contains(name_cleaned, ',')),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computes ``df`` once and cuts its lineage; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, for tables written and read again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
@@ -9,10 +10,12 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import cut
 
 SPEECH = "text string, date string, speaker string, country string, source_file string, source_speech_id string, source_dataset string, source_dataset_type string"
 
@@ -25,16 +28,27 @@ def parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None
     return df.select(*columns) if columns else df
 
 
-def csv_strings(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",", limit: int | None = None) -> DataFrame:
-    """A CSV file with header, everything as text, multi-line fields allowed."""
+def csv_strings(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",", limit: int | None = None, multi_line: bool = False) -> DataFrame:
+    """A CSV file with header, everything as text. A file is split over tasks; ``multi_line`` allows line breaks within fields, but makes each file one task:
+    large files of that kind should come as many."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=True, enforceSchema=False)
+    df = spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
     return df.limit(limit) if limit else df
 
 
 def header(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """Column names of a CSV file, quoted ones too."""
     first = spark.read.text(path).first()
-    return [h.strip().strip('"') for h in first.value.split(sep)] if first else []
+    return [h.strip() for h in next(csv.reader([first.value.lstrip("\ufeff")], delimiter=sep))] if first else []
+
+
+def row_index(df: DataFrame, out: str = "row_seq") -> DataFrame:
+    """Rows with their 0-based place in the order they were read: numbered within their partition, shifted by the counts of those before."""
+    d = df.withColumn("__m", F.monotonically_increasing_id())
+    d = cut(d.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__m"))
+    counts = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # as many rows as partitions
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return d.join(F.broadcast(counts.select("__p", before.alias("__b"))), "__p").withColumn(out, F.col("__i") + F.col("__b")).drop("__p", "__i", "__b")
 
 
 def resolve_aliases(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -105,27 +119,28 @@ def tei_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def speech_csv(df: DataFrame, text: str, country: str, dataset: str, year_below: int | None = None, year_from: int | None = None, speech_id: Sequence[str] = ("speechnumber",), speaker: str = "speaker", date: str = "date") -> DataFrame:
-    """Rows of a speech CSV with text; years in [from, below); the id is the first that isn't missing ('' , NA, nan), else the row's hash."""
+    """Rows of a speech CSV with text; years in [from, below); the id is the first that isn't missing ('' , NA, nan), else the row's place in the file."""
     y = X.year_of(F.col(date))
+    df = row_index(df, "__row")
     d = df.filter(X.text_or_null(F.col(text)).isNotNull())
     if year_below is not None:
         d = d.filter(y < year_below)
     if year_from is not None:
         d = d.filter(y >= year_from)
     ids = [F.when(~F.col(c).isin("", "NA", "nan"), F.col(c)) for c in speech_id if c in df.columns]
-    sid = F.coalesce(*ids, F.xxhash64(*df.columns).cast("string"))
+    sid = F.coalesce(*ids, F.col("__row").cast("string"))
     return d.select(F.col(text).alias("text"), F.col(date).alias("date"), F.coalesce(speaker, F.lit("")).alias("speaker"), F.lit(country).alias("country"), F.lit(dataset + ".csv").alias("source_file"), sid.alias("source_speech_id"), F.lit(dataset).alias("source_dataset"), F.lit("speech-csv").alias("source_dataset_type"))
 
 
 def piped(spark: SparkSession, speeches: str, descriptions: str, before_year: int | None = None) -> DataFrame:
-    """Two pipe-delimited files joined on speech_id: only the first delimiter of a speech line counts, dates are YYYYMMDD, chambers H and S."""
-    s = spark.read.text(speeches).select(F.split("value", r"\|", 2).alias("p")).select(F.col("p")[0].alias("speech_id"), X.strip_controls(F.col("p")[1]).alias("text")).filter("speech_id <> 'speech_id' AND text IS NOT NULL")
+    """Pipe-delimited speech files and their descriptions (paths or globs) joined on speech_id: only the first delimiter of a speech line counts, dates are YYYYMMDD, chambers H and S."""
+    s = spark.read.text(speeches).select(F.split("value", r"\|", 2).alias("p"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("f")).select("f", F.col("p")[0].alias("speech_id"), X.strip_controls(F.col("p")[1]).alias("text")).filter("speech_id <> 'speech_id' AND text IS NOT NULL")
     d = csv_strings(spark, descriptions, header(spark, descriptions, "|"), sep="|")
     d = d.filter(F.col("chamber").isin("H", "S")).withColumn("d", F.try_to_timestamp(F.col("date"), F.lit("yyyyMMdd")).cast("date"))
     if before_year:
         d = d.filter(F.year("d") < before_year)
     full = F.trim(F.concat_ws(" ", X.text_or_null(F.col("first_name")), X.text_or_null(F.col("last_name"))))
-    return s.join(d, "speech_id").select("text", F.col("d").cast("string").alias("date"), F.when(full != "", full).otherwise(F.col("speaker")).alias("speaker"), F.lit("US").alias("country"), F.lit("daily").alias("source_file"), F.col("speech_id").alias("source_speech_id"), F.lit("daily-US").alias("source_dataset"), F.lit("piped").alias("source_dataset_type"))
+    return s.join(d, "speech_id").select("text", F.col("d").cast("string").alias("date"), F.when(full != "", full).otherwise(F.col("speaker")).alias("speaker"), F.lit("US").alias("country"), F.col("f").alias("source_file"), F.col("speech_id").alias("source_speech_id"), F.lit("daily-US").alias("source_dataset"), F.lit("piped").alias("source_dataset_type"))
 
 
 RECORD = "header struct<year string, month string, day string>, id string, content array<struct<kind string, text string, speaker string, itemno int>>"

@@ -13,24 +13,31 @@ SIZE = 8
 
 
 def stream_context(rows: DataFrame, size: int = SIZE) -> DataFrame:
-    """``source_file, seq, context`` (the speakers and sentences before, joined by ``|``) of each labelled row (``source_file, seq, speaker, sentence, label``).
+    """``source_file, seq, context`` of each labelled row (``source_file, seq, speaker, sentence, label``), rendered as by ``preceding_context``: a ``[Name]``
+    line where the speaker changes, ``>>> `` before the row itself.
 
     The state of a file is its last ``size`` rows; rows of a file must arrive in order across batches and are ordered by ``seq`` within one.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        held = [tuple(x) for x in zip(*state.get)] if state.exists else []
         pdf = pd.concat(list(batches)).sort_values("seq")
         out = []
         for seq, who, text, label in zip(pdf["seq"], pdf["speaker"], pdf["sentence"], pdf["label"]):
-            line = f"{who or 'unknown'}: {text}"
+            row = ((who or "").strip() or "unknown", (text or "").strip())
             if label:
-                out.append((key[0], int(seq), " | ".join([*held, ">>> " + line])))
-            held = [*held, line][-size:]
-        state.update((held,))
+                lines: list[str] = []
+                last = None
+                for k, (name, said) in enumerate([*held, row]):
+                    lines += [f"[{name}]"] if name != last else []
+                    lines.append((">>> " if k == len(held) else "") + said)
+                    last = name
+                out.append((key[0], int(seq), "\n".join(lines)))
+            held = [*held, row][-size:]
+        state.update(([w for w, _ in held], [t for _, t in held]))
         yield pd.DataFrame(out, columns=["source_file", "seq", "context"])
 
-    return rows.groupBy("source_file").applyInPandasWithState(step, "source_file string, seq bigint, context string", "held array<string>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("source_file").applyInPandasWithState(step, "source_file string, seq bigint, context string", "who array<string>, said array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def rates_by_window(events: DataFrame, at: str = "ts", kind: str = "event_type", delay: str = "1 hour", width: str = "1 day") -> DataFrame:

@@ -355,7 +355,7 @@ def test_pipes_json_csv(spark, tmp_path):
     r = readers.record_json(spark, str(tmp_path / "CREC-1.json")).first()
     assert (r.text, r.date, r.speaker, r.source_speech_id) == ("t", "1995-03-04", "", "d-item3")
     (tmp_path / "a.csv").write_text('Date,Name,Body,uniqueID\n2000-01-01,Jo,"said ""x""\nand y",NA\n1980-01-01,Jo,z,7\n')
-    c = readers.csv_strings(spark, str(tmp_path / "a.csv"), ["Date", "Name", "Body", "uniqueID"])
+    c = readers.csv_strings(spark, str(tmp_path / "a.csv"), ["Date", "Name", "Body", "uniqueID"], multi_line=True)
     c = readers.resolve_aliases(c, {"date": ["datum"], "speaker": ["name"], "text": ["body"], "uniqueID": []})
     got = readers.speech_csv(c, "text", "AU", "au", year_from=1990, speech_id=["uniqueID"]).collect()
     assert len(got) == 1 and got[0].text == 'said "x"\nand y' and got[0].source_speech_id not in ("NA", "7")
@@ -381,8 +381,125 @@ def test_streams(spark, tmp_path):
     q = stream.stream_context(rows_).writeStream.format("memory").queryName("ctx").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r.seq: r.context for r in spark.table("ctx").collect()}
-    assert got[2] == "A: s0 | A: s1 | >>> A: s2" and got[12].startswith("A: s4 | ") and got[12].endswith(">>> A: s12")
+    assert got[2] == "[A]\ns0\ns1\n>>> s2" and got[12] == "[A]\n" + "".join(f"s{i}\n" for i in range(4, 12)) + ">>> s12"  # as the batch operator renders it
     out = str(tmp_path / "out")
     for _ in range(2):
         stream.process_once(spark.readStream.schema(schema).parquet(str(src / "b*")), out, str(tmp_path / "ck2"), lambda d: d.select("seq"), "seq")
     assert spark.read.parquet(out).count() == 13
+
+
+# -- rules and plans that hold at scale -----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("text,want", [("Staatssekretär Moser", True), ("the State Secretary", True), ("Bundeskanzler X", True), ("the Premier", False), ("nobody", False), (None, None)])
+def test_government_roles(spark, text, want):
+    assert one(spark, F.col("t").rlike(T.GOVERNMENT_ROLES), t=text) is want
+
+
+@pytest.mark.parametrize("text,want", [("Labour left office", None), ("the administration", None), ("left wing", "left"), ("the Opposition and the government", "opposition"), ("the treasury benches", "government")])
+def test_blocs_know_no_party_names(spark, text, want):
+    assert one(spark, T.bloc(F.col("t")), t=text) == want
+
+
+@pytest.mark.parametrize("at,low,high,want", [("2001-05-01", None, "1995-01-01", True), ("2001-05-01", "2002-01-01", "", True), ("2001-05-01", "2002-01-01", "2003-01-01", False), ("2001-05-01", "2000-01-01", "2001-05-01T10:00", True), (None, "2002-01-01", "2003-01-01", True)])
+def test_period(spark, at, low, high, want):
+    assert one(spark, entity.in_period(F.col("a"), F.col("l"), F.col("h")), a=at, l=low, h=high) is want
+
+
+def test_interjection_begins_with_a_name(spark):
+    assert one(spark, F.regexp_extract("t", entity.INTERJECTION, 1), t="von Foo: no") == ""
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    import difflib
+    import random
+
+    r = random.Random(5)
+    words = {"".join(r.choice("abcdeilmnorst") for _ in range(r.randint(2, 11))) for _ in range(120)}
+    words |= {w[:i] + r.choice("aexz") + w[i + r.randint(0, 1) :] for w in list(words) for i in [r.randint(0, len(w))]} | {"ä", "aa", "aaa", "aaaa"}
+    df = spark.createDataFrame([("b", w) for w in sorted(words)], "block string, w string")
+    got = {(x.w, x.v) for x in entity.similar_pairs(df, df.withColumnRenamed("w", "v"), ["block"], "w", "v", 0.82).collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and difflib.SequenceMatcher(None, a, b).ratio() >= 0.82}
+
+
+def test_similar_targets_go_to_the_chooser(spark):
+    speakers = spark.createDataFrame([("s1", "Anna Apfelbach", "AT", "d", "", "")], "speaker_id string, name_cleaned string, country string, source_dataset string, min_date string, max_date string")
+    acc = spark.createDataFrame([(1, "Anna Apfelbech", "AT", "d", "2001-01-01", "person", "success", 0, "pending"), (2, "Dr. Apfelbach", "AT", "d", None, "person", "success", None, "pending")], "id long, target_text string, country string, source_dataset string, date string, target_type string, target_status string, is_interjection int, resolve_status string")
+    got = {r.id: (r.resolve_status, r.resolve_method, r.resolved_speaker_id, r.n_candidates) for r in entity.resolve_targets(acc, speakers).collect()}
+    assert got == {1: ("unresolved", "llm_fuzzy", None, 1), 2: ("resolved", "exact", "s1", 1)}
+
+
+def test_rival_party_below_the_least_counts(spark):
+    p = spark.createDataFrame([(1, "AUT", "abcdefghijklmnopqrst", None, None, None, None), (2, "AUT", "abcdefghijklmnopqrsz", None, None, None, None)], "partyfacts_id int, country string, name string, name_english string, name_short string, year_first double, year_last double")
+    import difflib
+
+    text = next(t for n in range(3, 12) for t in ["abcdefghijklmnopqrst"[: 20 - 3] + "xy"[: n % 3]] if difflib.SequenceMatcher(None, t, "abcdefghijklmnopqrst").ratio() >= 0.88)
+    a = spark.createDataFrame([(1, "AT", text, "2000-01-01", "political_party", "success")], "id long, country string, target_text string, date string, target_type string, target_status string")
+    assert entity.resolve_parties(a, p).first().match_method == "ambiguous_fuzzy"
+
+
+def test_skipped_before_cv(spark):
+    from lodestone.operators import stages
+
+    cols = ["query", "fetch", "url_synth", "cv_synth", "annotate_a", "annotate_b", "annotate_c", "annotate_d"]
+    df = spark.createDataFrame([("success", "success", "skipped", "pending", *["pending"] * 4), ("skipped", "pending", "pending", "pending", *["pending"] * 4)], ", ".join(f"{c}_status string" for c in cols))
+    got = {r.stage: r.ready for r in stages.readiness(df).collect()}
+    assert got["cv_synth"] == 1 and got["fetch"] == 0 and got["url_synth"] == 0
+
+
+def test_timeline_keeps_equal_facts(spark):
+    t = spark.createDataFrame([("s", 0, 1990, 2000, "A")], "speaker_id string, pos int, start_year int, end_year int, party string")
+    f = spark.createDataFrame([("s", 1995), ("s", 1995), (None, 1995), ("s", None)], "speaker_id string, year int")
+    got = asof.timeline_pick(f, t, "speaker_id", "year")
+    assert got.count() == 4 and got.filter("party = 'A' AND covered").count() == 2 and got.filter("speaker_id IS NULL AND party IS NULL").count() == 1
+    assert asof.timeline_pick(f.filter("false"), t, "speaker_id", "year").count() == 0
+
+
+def test_asof_equals_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    day = lambda: f"{r.randint(1990, 2010)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}"
+    hist = sorted({(r.choice("ab"), day()): i for i in range(60)}.items())
+    facts = [(i, r.choice(["a", "b", "c", None]), day() if r.random() < 0.95 else None) for i in range(200)]
+    h = spark.createDataFrame([(k, d, v) for (k, d), v in hist], "k string, day string, v int").withColumn("day", F.to_date("day"))
+    f = spark.createDataFrame(facts, "i int, k string, at string").withColumn("at", F.to_date("at"))
+    for first in (False, True):
+        got = {x.i: x.v for x in asof.asof_join(f, h, ["k"], "at", "day", ["v"], or_first=first).collect()}
+        want = {}
+        for i, k, at in facts:
+            own = [(d, v) for (kk, d), v in hist if kk == k]
+            before = [v for d, v in own if at and d <= at]
+            want[i] = before[-1] if before else own[0][1] if first and own and at else None
+        assert got == want
+    assert asof.asof_join(f.filter("false"), h, ["k"], "at", "day", ["v"]).count() == 0
+
+
+def test_quantiles_and_ecdf(spark):
+    import numpy as np
+
+    vals = [1.0, 2.0, 2.0, 5.5, 7.0, None, float("nan"), -3.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = rates.quantiles(df, "x", [0.0, 0.1, 0.5, 0.9, 1.0]).first().q
+    assert np.allclose(got, np.quantile([v for v in vals if v is not None and v == v], [0.0, 0.1, 0.5, 0.9, 1.0]))
+    assert rates.quantiles(df.filter("false"), "x", [0.5]).first().q == [None]
+    e = spark.createDataFrame([("a", 1), ("a", 1), ("a", 3), (None, 2)], "g string, x int")
+    assert sorted((r.g or "", r.x, round(r.ecdf, 3)) for r in rates.ecdf(e, "g", "x").collect()) == [("", 2, 1.0), ("a", 1, 0.667), ("a", 1, 0.667), ("a", 3, 1.0)]
+
+
+def test_first_value_that_is_not_null(spark):
+    e = spark.createDataFrame([(1, "s", None), (2, "s", "x"), (3, "s", "y")], "o int, k string, c string")
+    assert panel.speaker_year_panel(e, e.filter("false"), e.filter("false"), ["k"], ["c"], "o").first().c == "x"
+
+
+def test_rows_numbered_as_read(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('"Date","Say, what"\n2000,a\n2000,a\n2001,b\n')
+    assert readers.header(spark, str(tmp_path / "x.csv")) == ["Date", "Say, what"]
+    c = readers.row_index(readers.csv_strings(spark, str(tmp_path / "x.csv"), ["Date", "Say, what"]))
+    assert [tuple(r) for r in c.orderBy("row_seq").collect()] == [("2000", "a", 0), ("2000", "a", 1), ("2001", "b", 2)]
+
+
+def test_html_noise(spark):
+    body = "The member spoke at length on the harbour and its dues. " * 3
+    h = f"<html><head><title>Site title</title></head><body><figure>Caption</figure><div class='newsletter-box'>Sign up</div><ul class='pagination'><li>2</li></ul><select><option>DE</option></select><p>{body}</p></body></html>"
+    assert one(spark, T.html_text("h"), h=h) == body.strip()
