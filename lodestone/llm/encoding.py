@@ -36,7 +36,9 @@ FLOOR = 1e-7
 #: Nats by which the restored reading must be the better one, and the prior of a symbol not standing for itself.
 THRESHOLD, SWAP_PRIOR = 3.0, 0.01
 #: Nats that a reading must gain where no word of the corpus speaks for or against it.
-ALONE = 12.0
+ALONE = 30.0
+#: Nats against a misread sequence whose signs would stand right after a letter, at each use.
+INSIDE = 2.0
 #: Nats that a letter may read worse and still be taken if the document's other swaps come from the same pair of pages.
 PAIR = 3.0
 #: Rows of the sources' tables and bigrams that are held at once; sources beyond it are taken in several turns.
@@ -261,6 +263,7 @@ def hard(sym: str) -> bool:
 def decode(text: str, table: dict[str, dict[str, float]], trust: dict[str, float], big: Bigrams) -> tuple[list[float], list[dict[str, str]]]:
     """Gains in nats and maps symbol -> letter of a document under its source's table: of hard, strange and proper symbols."""
     none = ([0.0] * 3, [{}, {}, {}])
+    gains, maps = [0.0] * 3, [{}, {}, {}]
     occ = occurrences(text)
     odd, theta = set(), {}
     for l, s, r in occ:
@@ -280,16 +283,17 @@ def decode(text: str, table: dict[str, dict[str, float]], trust: dict[str, float
     own: Counter = Counter()
     for (l, s, r), n in occ.items():
         if s in odd:
-            own[s] += n * log(big(l, s) * big(s, r))
+            own[s] += n * (log(big(l, s) * big(s, r)) - (INSIDE if len(s) > 1 and not s[1:].isalnum() else 0.0))
             for a in ev[s]:
                 ev[s][a] += n * log(max(big.side(near(l), a, True) * big.side(near(r), a, False), 1e-14))
-    gains, maps = none
     for s, d in ev.items():
         a = max(d, key=lambda x: d[x] + log(max(post[s][x], 1e-9)))
         if a != s:
             k = 0 if hard(s) else 1 if trust.get(s, 1.0) < 0.5 else 2
             gains[k] += d[a] - own[s] + log(SWAP_PRIOR) / 4
             maps[k][s] = a
+    if all(s.lower() == a.lower() for m in maps for s, a in m.items()):
+        return none  # a letter in the other case alone is no fault
     return gains, maps
 
 
@@ -439,13 +443,18 @@ def _best(d: dict[str, float]) -> str:
     return max(d, key=lambda x: (d[x], x))
 
 
+def _scripts(word: str) -> int:
+    """In how many scripts, Latin, Greek and Cyrillic, a word is written."""
+    return len({"c" if "\u0400" <= c < "\u0530" else "g" if "\u0370" <= c < "\u0400" else "l" for c in word if c.isalpha()})
+
+
 def oddness(word: str) -> int:
     """Signs and capital letters inside a word."""
-    return sum(1 for i, c in enumerate(word) if not c.isascii() and ((not c.isalpha() and c not in "’‘·ʼ\xad") or (i and c.isupper() and word[i - 1].islower())))
+    return sum(1 for i, c in enumerate(word) if not c.isascii() and (((not c.isalpha() or c in "ˆˇªº") and c not in "’‘·ʼ\xad") or (i and c.isupper() and word[i - 1].islower())))
 
 
-def verify(odd: DataFrame, theta: Theta) -> dict[tuple[int, str, str], tuple[float, int]]:
-    """(votes, words) of each soft swap (version, source, symbol) of ``theta``: by how many more of the words it restores are better known than those that
+def verify(odd: DataFrame, theta: Theta) -> dict[tuple[int, str, str], tuple[float, float, int]]:
+    """(votes, votes by uses, words) of each soft swap (version, source, symbol) of ``theta``: by how many more of the words it restores are better known than those that
     stand there. Better known is what more sources prefer, or, if as many do, what has fewer signs and capitals within words. ``odd``: the vocabulary's words with other than ASCII letters."""
     spark = odd.sparkSession
     swaps: dict[tuple[int, str], dict[str, str]] = defaultdict(dict)
@@ -457,21 +466,22 @@ def verify(odd: DataFrame, theta: Theta) -> dict[tuple[int, str, str], tuple[flo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for src, w in zip(pdf["source"], pdf["word"]):
+            for src, w, n in zip(pdf["source"], pdf["word"], pdf["n"].tolist()):
                 for v in versions:
                     if (m := box.value.get((v, src))) and (soft := [s for s in {o[1] for o in occurrences(w)} if s in m and not hard(s)]):
                         u = apply(w, m)
-                        out += [(v, src, s, w, u, float(np.sign(oddness(w) - oddness(u)))) for s in soft]
-            yield pd.DataFrame(out, columns=["v", "source", "sym", "w", "u", "odd"])
+                        if u.lower() != w.lower():  # a word in other letter cases tells nothing
+                            out += [(v, src, s, w, u, float(np.sign(oddness(w) - oddness(u))), n) for s in soft]
+            yield pd.DataFrame(out, columns=["v", "source", "sym", "w", "u", "odd", "uses"])
 
-    asked = cut(odd.mapInPandas(run, "v int, source string, sym string, w string, u string, odd double"))
+    asked = cut(odd.mapInPandas(run, "v int, source string, sym string, w string, u string, odd double, uses bigint"))
     # each source speaks once, for the spelling that it uses more
     both = asked.select("w", "u").distinct().select("w", "u", F.explode(F.array(F.struct(F.col("w").alias("word"), F.lit(-1).alias("side")), F.struct(F.col("u").alias("word"), F.lit(1).alias("side")))).alias("x")).select("w", "u", "x.*")
     per = both.join(odd.select(F.col("source").alias("by"), "word", "n"), "word").groupBy("w", "u", "by").agg(F.sum(F.col("side") * F.col("n")).alias("d"))
     vote = per.groupBy("w", "u").agg(F.sum(F.signum("d")).alias("sources"))
     asked = asked.join(vote, ["w", "u"]).withColumn("vote", F.when(F.col("sources") != 0, F.signum("sources")).otherwise(F.col("odd")))
-    rows = asked.groupBy("v", "source", "sym").agg(F.sum("vote").alias("x"), F.count(F.lit(1)).alias("n")).collect()  # sources times symbols
-    return {(r.v, r.source, r.sym): (r.x, r.n) for r in rows}
+    rows = asked.groupBy("v", "source", "sym").agg(F.sum("vote").alias("x"), F.sum(F.col("vote") * F.col("uses")).alias("y"), F.count(F.lit(1)).alias("n")).collect()  # sources times symbols
+    return {(r.v, r.source, r.sym): (r.x, r.y, r.n) for r in rows}
 
 
 #: What each character means if one page was written and another one read.
@@ -485,18 +495,18 @@ def page_pair(swaps: dict[str, tuple[str, float]]) -> tuple[tuple[str, str], flo
     return best, score[best]
 
 
-def _by_pair(theta: Theta, votes: dict[tuple[int, str, str], tuple[float, int]]) -> tuple[set[tuple[int, str, str]], Theta]:
+def _by_pair(theta: Theta, votes: dict[tuple[int, str, str], tuple[float, float, int]]) -> tuple[set[tuple[int, str, str]], Theta]:
     """(swaps that words confirm, each by itself or together those of one pair of pages; what that pair makes of the source's other characters)."""
-    ok: set[tuple[int, str, str]] = {k for k, (x, _) in votes.items() if x > 0}
+    ok: set[tuple[int, str, str]] = {k for k, (x, y, _) in votes.items() if x > 0 and y > 0}
     swaps: dict[tuple[int, str], dict[str, tuple[str, float]]] = defaultdict(dict)
-    for (v, src, s), (_, n) in votes.items():
+    for (v, src, s), (*_, n) in votes.items():
         swaps[v, src][s] = (_best(theta[v, src, s]), n)
     pairs: dict[str, set[tuple[str, str]]] = defaultdict(set)
     for (v, src), m in swaps.items():
         pair, _ = page_pair(m)
         same = [(v, src, s) for s, (a, _) in m.items() if PAIRS[pair].get(s) == a]
-        if sum(votes[k][0] for k in same) > 0:
-            ok.update(same)
+        if all(sum(votes[k][i] for k in same) > 0 for i in (0, 1)):
+            ok.update(k for k in same if votes[k][1] >= 0)  # not one that mostly stands for itself
             pairs[src].add(pair)
     more: Theta = {}
     for v, src, s in theta:
@@ -510,7 +520,7 @@ def tables_of(odd: DataFrame, theta: Theta) -> tuple[dict[str, dict[str, dict[st
     """(each source's symbol-to-letter table, its swaps that words confirm)."""
     ok, more = _by_pair(theta, verify(odd, theta))
     if more:
-        ok |= {k for k, (x, _) in verify(odd, more).items() if x > 0}
+        ok |= {k for k, (x, y, _) in verify(odd, more).items() if x > 0 and y > 0}
     theta = theta | more
     tables: dict[str, dict[str, dict[str, float]]] = defaultdict(dict)
     sure: dict[str, dict[str, str]] = defaultdict(dict)
@@ -598,12 +608,13 @@ def _decode_all(texts: DataFrame, box: Broadcast, threshold: float, docs: DataFr
                     words = [] if sure else Counter(w for w in re.split(WORDS, re.sub("[0-9]+", "0", t)) if not w.isascii())
                     pairs = [{"w": w, "v": v, "n": n} for w, n in sorted(words.items()) if (v := apply(w, used)) != w] if words else []
                     mine = known.get(src, {})
+                    pure = all(_scripts(x["v"]) <= max(1, _scripts(x["w"])) and oddness(x["v"]) <= oddness(x["w"]) for x in pairs)
                     agreed = bool(used) and all(mine.get(s) == a for s, a in used.items() if not hard(s))
-                    out.append((i, src, g0 + g1 + g2, apply(t, used), pairs, sure, agreed))
-            yield pd.DataFrame(out, columns=["doc_id", "source", "gain", "restored", "words", "sure", "agreed"])
+                    out.append((i, src, g0 + g1 + g2, apply(t, used), [x for x in pairs if x["w"].lower() != x["v"].lower()], sure, agreed, pure))
+            yield pd.DataFrame(out, columns=["doc_id", "source", "gain", "restored", "words", "sure", "agreed", "pure"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return texts.mapInPandas(run, f"doc_id {kind}, source string, gain double, restored string, words array<struct<w: string, v: string, n: bigint>>, sure boolean, agreed boolean")
+    return texts.mapInPandas(run, f"doc_id {kind}, source string, gain double, restored string, words array<struct<w: string, v: string, n: bigint>>, sure boolean, agreed boolean, pure boolean")
 
 
 def _settle(hits: DataFrame, odd: DataFrame, parts: list[tuple[DataFrame, Broadcast]]) -> DataFrame:
@@ -630,5 +641,5 @@ def _settle(hits: DataFrame, odd: DataFrame, parts: list[tuple[DataFrame, Broadc
         votes = votes.withColumn(f"n_{c}", F.coalesce(f"n_{c}", F.lit(0)) - F.when(F.col("mine") == F.col(c), F.col("n")).otherwise(0))
     votes = votes.groupBy("source", "h").agg(F.sum(F.signum(F.col("n_v") - F.col("n_w"))).alias("vote"), F.max(((F.col("n_v") > 0) | (F.col("n_w") > 0)).cast("int")).alias("known"))
     rest = hits.filter("NOT sure").withColumn("h", F.xxhash64("restored", "source")).join(votes, ["source", "h"])
-    ok = (F.col("vote") > 0) | ((F.col("known") == 0) & (F.col("agreed") | (F.col("gain") > ALONE)))
+    ok = (F.col("vote") > 0) | ((F.col("known") == 0) & F.col("pure") & (F.col("agreed") | (F.col("gain") > ALONE)))
     return hits.filter("sure").select("doc_id", "gain", "restored").unionByName(rest.filter(ok).select("doc_id", "gain", "restored"))
