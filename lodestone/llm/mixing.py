@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .cutoff import refine
 
+#: Targets up to which their table is sent to all workers; beyond it the joins shuffle.
 MAX_TARGETS = 10_000
 
 
@@ -40,9 +41,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> list
     """Water-filled amounts per (mix, source). ``sizes``: ``source, available``. ``total``: size of each mix, by default all its sources' available tokens."""
     t = targets.select("mix", "source", F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("bigint").alias("reps")).filter("mix IS NOT NULL AND source IS NOT NULL")
     t = t.groupBy("mix", "source").agg(F.max("share").alias("share"), F.max("reps").alias("reps"))
-    rows = t.join(sizes, "source", "left").limit(MAX_TARGETS + 1).collect()  # one row per target
-    if len(rows) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
+    rows = t.join(sizes, "source", "left").collect()  # one row per target asked for
     out = []
     for mix in sorted({r.mix for r in rows}):
         own = sorted((r for r in rows if r.mix == mix), key=lambda r: r.source)
@@ -72,13 +71,14 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, total: int | None =
     docs = cut(docs.select("doc_id", "source", F.greatest(F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)), F.lit(0)).alias("n_tokens")).filter("source IS NOT NULL"))
     sizes = docs.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     rows = plan(sizes, targets, total)
-    p = F.broadcast(spark.createDataFrame([tuple(r.values()) for r in rows], PLAN))  # at most MAX_TARGETS rows
+    few = F.broadcast if len(rows) <= MAX_TARGETS else lambda d: d
+    p = few(spark.createDataFrame([tuple(r.values()) for r in rows], PLAN))
     # 53 bits of a seeded hash as a score in [0, 1); a mix has its own draw
     score = F.expr(f"shiftrightunsigned(xxhash64(doc_id, mix, {int(seed)}L), 11) / double(9007199254740992)")
     k = F.concat_ws("\x1f", "mix", "source")
     used = docs.join(p, "source").withColumns({"s": score, "k": k})
     ends = refine(used.filter("extra > 0 AND n_tokens > 0").select("k", "s", F.col("n_tokens").alias("w")), spark.createDataFrame([("\x1f".join((r["mix"], r["source"])), r["extra"]) for r in rows if r["extra"] > 0], "k string, target bigint"))
-    ends = F.broadcast(ends.select("k", "cutoff"))  # at most MAX_TARGETS rows
+    ends = few(ends.select("k", "cutoff"))
     times = F.col("whole") + F.when((F.col("extra") > 0) & (F.col("s") >= F.col("cutoff")), 1).otherwise(0)
     usage = used.join(ends, "k", "left").withColumn("times", times).filter("times > 0")
     got = usage.groupBy("mix", "source").agg(F.sum(F.col("times") * F.col("n_tokens")).alias("used_tokens"))

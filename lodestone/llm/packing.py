@@ -13,7 +13,6 @@ from ..session import cut
 
 #: Items per independently packed shard. A shard leaves at most about one container partly filled, a few in ten thousand here.
 SHARD_ITEMS = 20_000
-MAX_CAPACITIES = 1_000
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
@@ -72,9 +71,7 @@ def pack(docs: DataFrame, containers: DataFrame, doc_id: str = "doc_id", source:
     ``shard_items`` items, whatever group of copies or source is hot. Null sizes count as 0, null sources as one source. Repeated
     ids are packed once per row. Containers with a null or non-positive capacity are skipped, an empty table gives no rows; other columns are ignored.
     """
-    caps = [(r.container, int(r.capacity_tokens)) for r in containers.select("container", "capacity_tokens").filter("capacity_tokens > 0").distinct().orderBy("capacity_tokens", "container").limit(MAX_CAPACITIES + 1).collect()]
-    if len(caps) > MAX_CAPACITIES:
-        raise ValueError(f"more than {MAX_CAPACITIES} kinds of container")
+    caps = [(r.container, int(r.capacity_tokens)) for r in containers.select("container", "capacity_tokens").filter("capacity_tokens > 0").distinct().orderBy("capacity_tokens", "container").collect()]  # the kinds of container asked for
     items = cut(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("n"), F.col(cluster).cast("bigint").alias("cluster")))
     shards = max(1, -(-items.count() // shard_items))
     # doc_id and the size in the hash: repeated ids spread as far as their rows differ

@@ -64,9 +64,9 @@ def p4_cutoffs(spark, d):
 
 def _sized(spark, d):
     docs = _read(spark, d, "documents").select("doc_id", "source", "text")
-    # copies: equal texts of five words or more up to white space, by a 64-bit hash and the length
+    # copies: equal texts up to white space, by a 64-bit hash and the length; blank texts are copies of nothing
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    cluster = F.when(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) >= 4, F.xxhash64(flat, F.length(flat)))
+    cluster = F.when(flat != "", F.xxhash64(flat, F.length(flat)))
     return docs.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens"), cluster.alias("cluster"))
 
 
