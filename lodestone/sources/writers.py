@@ -11,7 +11,7 @@ def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt:
     """Writes unless the target exists; the commit protocol leaves nothing half-written."""
     w = df.write.mode("ignore").format(fmt)
     if fmt == "csv":
-        w = w.option("header", "true").option("escape", '"')
+        w = w.options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
 
 
