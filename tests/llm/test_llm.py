@@ -428,3 +428,21 @@ def test_hot_entity_is_split(spark, monkeypatch):
     monkeypatch.setattr(names, "PART", 7)
     df = spark.createDataFrame([("GB", f"n{i:03d}", 1) for i in range(50)] + [("GB", "x", 2)], "country string, name string, entity bigint")
     assert names.variant_pairs(df).distinct().count() == names.variant_pairs(df).count() == 50 * 49 // 2
+
+
+def test_names_take_few_jobs(spark):
+    """Each job and broadcast of a plan costs the driver memory, whatever the size of the tables."""
+    p = ["Citizens' Rally of the Orchard", "Citizens' Rally o. t. Orchard", "Orchard Rally", "CRO", "Progressive Quarry Union", "Quarry Union", "PQU"]
+    df = spark.createDataFrame([("GB", n, n in p) for n in PEOPLE + p], MENTIONS)
+    begun = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    was = begun()
+    assert names.resolve(df).count() > 20
+    assert begun() - was <= 125  # 101; 168 with a join for each block and look-up
+
+
+def test_nicknames_of_a_profile_stay(spark):
+    """A record that joined a profile has no nicknames of its own, whichever row comes first."""
+    rows = [(1, "GB", "smithers", "edward", 1, True, []), (1, "GB", "smithers", "edward", 2, True, ["ted"])]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "pid bigint, country string, fam1 string, given string, n bigint, known boolean, mates array<string>").coalesce(1)
+        assert [(r.total, r.mates) for r in names._spellings(df).collect()] == [(3, ["ted"])]
